@@ -14,10 +14,12 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.session import sized
+from tidepanel.session import sized, staged
 
 #: Bins of size per power of two, and of hash, by which the order within a source is cut.
-SIZE_BINS, HASH_BINS = 4, 64
+SIZE_BINS, HASH_BINS = 8, 64
+#: Share of its source's quota above which a document is drawn before the rest.
+LARGE = 0.005
 
 
 def folded_name(name: Column) -> Column:
@@ -43,18 +45,11 @@ def mix_plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -
     return spark.createDataFrame(out, "source string, target_weight double, max_repeats int, documents long, tokens long, copies double")
 
 
-def mix_sources(sizes: DataFrame, plan: DataFrame, seed: int = 20260101) -> DataFrame:
-    """(key, source, size, uses) of every document used at least once.
-
-    The order within a source runs over cells of (size bin, hash bin), whose
-    counts are summed up in a small table, and within a cell; so a source with a
-    third of all rows is spread over its cells. Documents without tokens and of
-    sources without target are not used. Repeated rows are documents of their own.
-    """
+def _systematic(rows: DataFrame, seed: int) -> DataFrame:
+    """``rows`` (key, source, size, copies, max_repeats) with ``uses``, where at least one."""
     cell = ["source", "size_bin", "hash_bin"]
     rows = (
-        sizes.filter("size > 0").join(F.broadcast(plan.filter("copies > 0").select("source", "copies", "max_repeats")), "source")
-        .withColumn("rank_hash", F.xxhash64(F.lit(seed), "key"))
+        rows.withColumn("rank_hash", F.xxhash64(F.lit(seed), "key"))
         .withColumn("size_bin", F.floor(F.log2("size") * SIZE_BINS).cast("int"))
         .withColumn("hash_bin", F.pmod("rank_hash", F.lit(HASH_BINS)).cast("int"))
     )
@@ -68,6 +63,30 @@ def mix_sources(sizes: DataFrame, plan: DataFrame, seed: int = 20260101) -> Data
     return ranked.withColumn("uses", uses.cast("int")).filter("uses > 0").select("key", "source", "size", "uses")
 
 
+def mix_sources(sizes: DataFrame, plan: DataFrame, seed: int = 20260101) -> DataFrame:
+    """(key, source, size, uses) of every document used at least once.
+
+    The order within a source runs over cells of (size bin, hash bin), whose
+    counts are summed up in a small table, and within a cell; so a source with a
+    third of all rows is spread over its cells. Documents above LARGE of a
+    source's quota are drawn first; what they leave of it sets the expected
+    copies of the rest, so that one long document doesn't shift the shares.
+
+    Documents without tokens and of sources without target are not used.
+    Repeated rows are documents of their own.
+    """
+    rows = sizes.filter("size > 0").join(F.broadcast(plan.filter("copies > 0").select("source", "tokens", "copies", "max_repeats")), "source")
+    large = F.col("size") > LARGE * F.col("copies") * F.col("tokens")
+    first = staged(_systematic(rows.filter(large), seed))
+    used = first.groupBy("source").agg(F.sum(F.col("size") * F.col("uses")).alias("used"))
+    held = rows.filter(~large).groupBy("source").agg(F.sum("size").alias("held"))
+    left = F.col("copies") * F.col("tokens") - F.coalesce("used", F.lit(0))
+    rate = F.greatest(F.lit(0.0), F.least(left / F.col("held"), F.col("max_repeats").cast("double")))
+    rest = staged(plan.join(held, "source").join(used, "source", "left").select("source", rate.alias("rate")))
+    again = rows.filter(~large).join(F.broadcast(rest), "source").withColumn("copies", F.col("rate")).filter("copies > 0")
+    return first.unionByName(_systematic(again, seed + 1))
+
+
 def mix_shares(mix: DataFrame, plan: DataFrame) -> DataFrame:
     """Shares reached: one row per target source, also of those without documents."""
     got = mix.groupBy("source").agg(F.sum(F.col("size") * F.col("uses")).alias("tokens_used"), F.count("*").alias("documents_used"), F.max("uses").alias("most_uses"))
