@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidepanel.llm.automaton import encode_corpus
 from tidepanel.llm.mixing import folded_name, mix_plan, mix_shares, mix_sources
 from tidepanel.llm.sampling import SampleLedger, proportional_quotas, proportional_sample
+from tidepanel.llm.subjects import assign_subjects
 from tidepanel.session import shared_folder, staged
 from tidepanel.sources.tables import table
 
@@ -85,7 +86,23 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_shares(*_mix(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p3_sample, p6_found, p6_quotas, p6_sample, p7_ids, p8_mix, p8_shares)}
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    names = [r[0] for r in table(spark, d, "subject_areas").select("subject").dropna().distinct().collect()]
+    return assign_subjects(table(spark, d, "documents"), table(spark, d, "subject_labels"), names).filter("posterior >= 0.5")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """The subjects of each document."""
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents per subject, and their share of all documents with text."""
+    total = table(spark, d, "documents").filter(F.length(F.trim("text")) > 0).count()
+    return _subjects(spark, d).groupBy("subject").agg(F.count("*").alias("documents"), F.sum("share").alias("weight")).withColumn("share_of_corpus", c("documents") / F.lit(max(total, 1)))
+
+
+QUERIES = {f.__name__: f for f in (p3_sample, p6_found, p6_quotas, p6_sample, p7_ids, p8_mix, p8_shares, p9_found, p9_composition)}
 
 _P3_STEP = """
  t{g} as (select floor(0.02 * count(*))::bigint - (select count(*) from s{p}) need from k where {cut}),
