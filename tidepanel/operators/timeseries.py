@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: Fixed values of the feature set.
 STD_ROWS, ABS_ROWS, COMPOUND_ROWS, LAGS = (5, 21, 63, 126, 252), (5, 21, 63), (5, 21, 63), (1, 5, 21)
 HORIZON, DECAY, BURN_IN = 21, 0.94, 21
+#: Rows up to which a sliding frame costs less than running sums.
+SLIDING = 32
 
 
 def by_entity(entity: str, day: str) -> WindowSpec:
@@ -41,11 +43,34 @@ def compounded(x: Column, rows: int, spec: WindowSpec) -> Column:
 
 
 def return_features(df: DataFrame, *, entity: str = "permno", day: str = "d", value: str = "r", std: Sequence[int] = STD_ROWS, mean_abs: Sequence[int] = ABS_ROWS, compound: Sequence[int] = COMPOUND_ROWS) -> DataFrame:
-    """``df`` with trailing standard deviations, mean sizes and compounded returns."""
+    """``df`` with trailing standard deviations, mean sizes and compounded returns.
+
+    A sliding frame is evaluated anew for each row, so standard deviations over
+    long frames come from differences of running sums instead.
+    """
     spec, x = by_entity(entity, day), F.col(value)
-    return df.withColumns(
-        {f"return_std_{k}d": rolling_std(x, k, spec) for k in std} | {f"mean_abs_return_{k}d": rolling(F.abs(x), F.avg, k, spec) for k in mean_abs} | {f"compounded_return_{k}d": compounded(x, k, spec) for k in compound}
+    short, long = [k for k in std if k <= SLIDING], [k for k in std if k > SLIDING]
+    out = df.withColumns(
+        {f"return_std_{k}d": rolling_std(x, k, spec) for k in short} | {f"mean_abs_return_{k}d": rolling(F.abs(x), F.avg, k, spec) for k in mean_abs} | {f"compounded_return_{k}d": compounded(x, k, spec) for k in compound}
     )
+    return long_std(out, x, long, spec) if long else out
+
+
+def long_std(df: DataFrame, x: Column, frames: Sequence[int], spec: WindowSpec) -> DataFrame:
+    """``df`` with trailing standard deviations from running counts, sums and sums of squares.
+
+    What cancels to less than 1e-12 of the mean square is a frame of equal values: 0.
+    """
+    upto = spec.rowsBetween(Window.unboundedPreceding, 0)
+    sums = {"_n": F.count(x).over(upto), "_s": F.coalesce(F.sum(x).over(upto), F.lit(0.0)), "_q": F.coalesce(F.sum(x * x).over(upto), F.lit(0.0))}
+    out = df.withColumns(sums)
+    lagged = out.withColumns({f"{c}{k}": F.col(c) - F.lag(c, k, 0).over(spec) for c in sums for k in frames})
+    stds = {}
+    for k in frames:
+        n, s, q = F.col(f"_n{k}"), F.col(f"_s{k}"), F.col(f"_q{k}")
+        rest = q - s * s / k
+        stds[f"return_std_{k}d"] = F.when(n == k, F.when(rest > 1e-12 * q, F.sqrt(rest / (k - 1))).otherwise(F.lit(0.0)))
+    return lagged.withColumns(stds).drop(*sums, *[f"{c}{k}" for c in sums for k in frames])
 
 
 def ewma_volatility(df: DataFrame, *, entity: str = "permno", day: str = "d", value: str = "r", decay: float = DECAY, burn_in: int = BURN_IN) -> DataFrame:

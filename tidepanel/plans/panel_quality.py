@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepanel.functions.columns import rounded
 from tidepanel.operators.asof import asof_attributes, attribute_intervals
 from tidepanel.operators.references import orphan_counts, orphan_references, padded_key
 from tidepanel.operators.rolling import idle_days, trailing_totals
@@ -47,7 +48,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_totals(spark: SparkSession, d: str) -> DataFrame:
     """Totals and averages of returns over the last 7 and 30 days, for every calendar day."""
     rows, names = _activity(spark, d)
-    figures = [F.round(f"{k}_{n}", 10).alias(f"{k}_{n}") for n in (7, 30) for k in ("total", "average")]
+    figures = [rounded(c(f"{k}_{n}"), 10).alias(f"{k}_{n}") for n in (7, 30) for k in ("total", "average")]
     return trailing_totals(rows, **names).select(c("entity").alias("permno"), F.date_format("day", "yyyy-MM-dd").alias("day"), *figures, "values_7", "values_30")
 
 
@@ -154,7 +155,7 @@ with right_key as (select p.row_id, arg_max(l.gvkey, (l.recorded_on, strftime(l.
 SQL = {
     "p1_found": _P1,
     "p2_found": _P2 + "select permno, day from t where n7 = 0",
-    "p2_totals": _P2 + "select permno, day, round(s7, 10) total_7, round(s7 / n7, 10) average_7, round(s30, 10) total_30, round(s30 / n30, 10) average_30, n7 values_7, n30 values_30 from t",
+    "p2_totals": _P2 + "select permno, day, round(s7, 10) + 0.0 total_7, round(s7 / n7, 10) + 0.0 average_7, round(s30, 10) + 0.0 total_30, round(s30 / n30, 10) + 0.0 average_30, n7 values_7, n30 values_30 from t",
     "p4_found": _P4 + "select source_table, row_id from o",
     "p4_report": _P4 + "select source_table, period, case when missing then 'missing' else 'late' end reason, count(*) orphans, count(distinct reference) distinct_references from o group by 1, 2, 3",
     "p5_found": _P5 + "select row_id from a where (gvkey is not null and gvkey is distinct from gvkey_then) or member <> member_then",
