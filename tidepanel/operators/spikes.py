@@ -222,6 +222,7 @@ def flag_spikes(readings: DataFrame, rule: SpikeRule, *, source: Column, time: C
     totals = rows.select("source", "day").join(F.broadcast(moved), "day").groupBy("day").agg(F.countDistinct("source").alias("sources"), F.max("moved").alias("moved"))
     common = totals.filter(F.col("moved") > rule.market_share * F.col("sources")).select("day", F.lit(True).alias("common"))
     found = found.join(F.broadcast(common), "day", "left")
+    found = found.withColumn("centre", F.nanvl("centre", F.lit(None)))  # NaN would exceed every reading
     judged = rows.join(sized(found), ["source", "day"], "left")
     at = F.col("value") if rule.two_sided else F.abs("value")
     out = at > rule.ratio * F.col("centre")

@@ -45,4 +45,4 @@ def json_document(spark: SparkSession, path: str) -> DataFrame:
 def literal_grid(spark: SparkSession, keys: Iterable[object], days: Sequence[str], key: str = "permno", day: str = "d") -> DataFrame:
     """One row per key and day of two literal lists."""
     rows = [(k, list(days)) for k in keys]
-    return spark.createDataFrame(rows, f"{key} long, _days array<string>").select(key, F.explode("_days").cast("date").alias(day))
+    return spark.createDataFrame(rows, f"{key} long, _days array<string>").select(key, F.explode(F.col("_days").cast("array<date>")).alias(day))
