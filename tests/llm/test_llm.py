@@ -1,0 +1,255 @@
+"""The training-data operators: against the public library, brute force and held-out labels."""
+
+import random
+from datetime import date, timedelta
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidepanel.llm.automaton import Encoder, MergeAutomaton, byte_symbols, encode_corpus, tokenizer_path
+from tidepanel.llm.mixing import folded_name, mix_plan, mix_shares, mix_sources
+from tidepanel.llm.sampling import SampleLedger, allocate, priority, proportional_quotas, proportional_sample, smallest
+from tidepanel.llm.subjects import assign_subjects, calibrate, sentence_features
+
+c = F.col
+SF = "/root/testdata/sf0.001"
+
+
+# ---- encoding
+
+
+def greedy(word, merges):
+    """Merging the best pair first, leftmost first, until none is left."""
+    rank = {(u, v): (k, w) for k, (u, v, w) in enumerate(merges)}
+    parts = list(word)
+    while True:
+        pairs = [(rank[p][0], i) for i, p in enumerate(zip(parts, parts[1:])) if p in rank]
+        if not pairs:
+            return parts
+        best = min(pairs)[0]
+        u, v, w = merges[best]
+        out, i = [], 0
+        while i < len(parts):
+            if i + 1 < len(parts) and (parts[i], parts[i + 1]) == (u, v):
+                out.append(w)
+                i += 2
+            else:
+                out.append(parts[i])
+                i += 1
+        parts = out
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_automaton_equals_greedy_merging(seed):
+    rnd = random.Random(seed)
+    letters = [97, 98, 99]
+    merges, tokens, texts = [], list(letters), {t: (t,) for t in letters}
+    while len(merges) < 14:
+        u, v = rnd.choice(tokens), rnd.choice(tokens)
+        if texts[u] + texts[v] in texts.values():
+            continue
+        w = 1000 + len(merges)
+        merges.append((u, v, w))
+        tokens.append(w)
+        texts[w] = texts[u] + texts[v]
+    a = MergeAutomaton({b: b for b in letters}, merges)
+    for _ in range(300):
+        word = bytes(rnd.choice(letters) for _ in range(rnd.randint(0, 14)))
+        assert a.encode(word) == greedy(word, merges)
+        assert a.decode(a.encode(word)) == word
+
+
+def test_automaton_refuses_a_second_way_to_a_token():
+    with pytest.raises(ValueError):
+        MergeAutomaton({97: 97, 98: 98}, [(97, 98, 300), (98, 97, 300)])
+
+
+TEXTS = [None, "", " ", "\n\t  　", "hello  world", "<|endoftext|> x", "don't I'LL they've", "a" * 5000, "ab1" * 7000, "\U0001f600‍❤️!!", "日本語 한국어 ÄÖÜ ß ñ", "x\u0000y\r\n\r\n z", "1234567 ½ ² ३", "=" * 333 + " " * 100]
+
+
+def test_encoding_equals_the_library_and_round_trips(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path())
+    library.encode_special_tokens = True
+    rnd = random.Random(1)
+    texts = TEXTS + ["".join(chr(rnd.choice([rnd.randint(9, 126), rnd.randint(0xA0, 0x24F), rnd.randint(0x4E00, 0x4F00), rnd.randint(0x1F300, 0x1F64F)])) for _ in range(rnd.randint(0, 80))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)] + [(0, None, "again")], "doc_id long, text string, key string")
+    out = encode_corpus(df, key=c("doc_id"), text=c("text")).collect()
+    assert len(out) == len(texts) + 1
+    encoder = Encoder.load(tokenizer_path())
+    for r in out:
+        text = texts[r["key"]] or ""
+        assert r["ids"] == library.encode(text, add_special_tokens=False).ids
+        assert encoder.decode(r["ids"]) == text
+    counts = {r["key"]: r["n_tokens"] for r in encode_corpus(df, key=c("doc_id"), text=c("text"), count_only=True).collect()}
+    assert counts == {r["key"]: len(r["ids"]) for r in out}
+    assert encode_corpus(df.limit(0), key=c("doc_id"), text=c("text")).count() == 0
+
+
+def test_byte_symbols_are_one_to_one():
+    assert sorted(byte_symbols().values()) == list(range(256))
+
+
+# ---- samples
+
+
+def day(i):
+    return date(2020, 1, 1) + timedelta(days=i)
+
+
+def keys(spark, n, extra=()):
+    return spark.createDataFrame([(i % 37, day(i), "x", i) for i in range(n)] + list(extra), "permno long, dlycaldt date, priority string, generation int")
+
+
+def test_smallest_equals_sorting(spark):
+    df = spark.range(5000).select(F.when(c("id") % 3 == 0, "b").otherwise("a").alias("g"), c("id").alias("k")).withColumn("priority", priority("s", c("k")))
+    for na, nb in ((0, 7), (1, 1666), (3334, 5000), (500, 0)):
+        quotas = spark.createDataFrame([("a", na), ("b", nb), ("none", 4)], "g string, quota long")
+        got = smallest(df, quotas, ["g"], ["k"]).groupBy("g").agg(F.count("*").alias("n"), F.max("priority").alias("p")).collect()
+        rows = {g: sorted(r["priority"] for r in df.filter(c("g") == g).collect()) for g in ("a", "b")}
+        want = {(g, min(n, len(rows[g])), rows[g][min(n, len(rows[g])) - 1]) for g, n in (("a", na), ("b", nb)) if n}
+        assert {tuple(r) for r in got} == want
+
+
+def test_ledger_keeps_members_whatever_the_layout(spark, tmp_path):
+    def grown(folder, shuffle):
+        ledger = SampleLedger(spark, str(tmp_path / folder), ["permno", "dlycaldt"], 0.1, "s")
+        states = []
+        for n in (300, 600, 500, 1000):
+            df = keys(spark, n, [(None, day(1), "x", 1), (1, None, "x", 1), (0, day(0), "x", 9)])
+            states.append({(r["permno"], r["dlycaldt"]) for r in ledger.update(df.orderBy(F.rand(7)).repartition(5) if shuffle else df).collect()})
+        return states, ledger
+
+    states, ledger = grown("a", False)
+    assert [len(s) for s in states] == [30, 60, 60, 100]
+    assert states[0] < states[1] == states[2] < states[3]
+    assert states == grown("b", True)[0]
+    assert all(None not in k for k in states[-1])
+    ranks = ledger.read(1).agg(F.max("priority")).first()[0]
+    assert keys(spark, 300).select(priority("s", c("permno"), c("dlycaldt")).alias("p")).filter(c("p") <= ranks).count() == 30
+    empty = SampleLedger(spark, str(tmp_path / "c"), ["permno", "dlycaldt"], 0.1, "s")
+    assert empty.update(keys(spark, 0)).count() == 0 and empty.update(keys(spark, 50)).count() == 5
+
+
+def test_allocation():
+    f = [Fraction(x) for x in ("0.5", "0.3", "0.2")]
+    assert allocate(10, f, [0, 0, 0], [99, 99, 99]) == [5, 3, 2]
+    assert allocate(11, f, [0, 0, 0], [99, 99, 99]) == [6, 3, 2]
+    assert allocate(10, f, [0, 0, 4], [99, 99, 99]) == [4, 2, 4]
+    assert allocate(10, f, [0, 0, 0], [2, 99, 99]) == [2, 5, 3]
+    assert allocate(10, f, [5, 5, 5], [99, 99, 99]) == [5, 5, 5]
+    assert allocate(10, f, [9, 0, 0], [1, 1, 0]) == [1, 1, 0]
+    assert allocate(0, f, [0, 0, 0], [9, 9, 9]) == [0, 0, 0] and allocate(5, [], [], []) == []
+    rnd = random.Random(2)
+    for _ in range(300):
+        k = rnd.randint(1, 8)
+        parts = [rnd.randint(0, 9) for _ in range(k)]
+        shares = [Fraction(p, sum(parts) or 1) for p in parts]
+        caps = [rnd.randint(0, 30) for _ in range(k)]
+        floors = [rnd.randint(0, 5) for _ in range(k)]
+        n = rnd.randint(0, 60)
+        got = allocate(n, shares, floors, caps)
+        assert all(min(f, m) <= g <= m for f, m, g in zip(floors, caps, got))
+        assert sum(got) <= max(n, sum(map(min, floors, caps)))
+
+
+def test_proportional_sample(spark):
+    rows = [(i, day(i), 2020, "low" if i < 400 else "high") for i in range(1000)] + [(5000 + i, day(i), 2021, "low") for i in range(3)]
+    population = spark.createDataFrame(rows, "permno long, dlycaldt date, y int, r string")
+    targets = spark.createDataFrame([(2020, "low", 0.5, 5), (2020, "high", 0.4, 5), (2021, "low", 0.1, 4), (2022, "low", 0.0, 2), (2023, "low", None, None)], "y int, r string, s double, m int")
+    quotas = proportional_quotas(population, targets, category=["y", "r"], share="s", least="m", rate=0.1)
+    got = {(r["y"], r["r"]): r for r in quotas.collect()}
+    assert got[2021, "low"]["quota"] == 3 and got[2021, "low"]["short"] and got[2022, "low"]["short"] and not got[2023, "low"]["short"]
+    assert sum(r["quota"] for r in got.values()) == 100
+    sample = proportional_sample(population, quotas, category=["y", "r"], key=["permno", "dlycaldt"], seed="s")
+    assert {(r["y"], r["r"]): r["count"] for r in sample.groupBy("y", "r").count().collect()} == {k: r["quota"] for k, r in got.items() if r["quota"]}
+    again = proportional_sample(population.orderBy(F.rand(5)).repartition(7), quotas, category=["y", "r"], key=["permno", "dlycaldt"], seed="s")
+    assert {r["permno"] for r in sample.collect()} == {r["permno"] for r in again.collect()}
+    none = proportional_quotas(population.limit(0), targets, category=["y", "r"], share="s", least="m", rate=0.1)
+    assert {r["quota"] for r in none.collect()} == {0} and none.filter("short").count() == 4
+
+
+# ---- mixes
+
+
+def test_mix_reaches_the_weights(spark):
+    rnd = random.Random(3)
+    rows = [(i, "big" if i < 3000 else "small" if i < 3300 else "left out", rnd.randint(5, 60)) for i in range(3400)]
+    rows += [(9000, "big", 0), (9001, None, 7), (9002, "big", None), (9003, "small", 2000)]
+    sizes = spark.createDataFrame(rows, "key long, source string, size long")
+    targets = spark.createDataFrame([(" Big ", 0.6, 1), ("small", 0.3, 3), ("absent", 0.1, 2), (None, 0.5, 1)], "source string, target_weight double, max_repeats int")
+    plan = mix_plan(sizes, targets)
+    mix = mix_sources(sizes, plan)
+    shares = {r["source"]: r for r in mix_shares(mix, plan).collect()}
+    assert shares["big"]["share_reached"] == pytest.approx(0.6 / 0.9, abs=0.01) and shares["small"]["share_reached"] == pytest.approx(0.3 / 0.9, abs=0.01)
+    assert shares["absent"]["tokens_used"] == 0 and shares["absent"]["shortfall"] == pytest.approx(0.1)
+    uses = {r["source"]: r["most_uses"] for r in mix_shares(mix, plan).collect()}
+    assert uses["big"] <= 1 and uses["small"] <= 3
+    assert mix.count() == mix.select("key").distinct().count()
+    again = mix_sources(sizes.repartition(9), plan)
+    assert {tuple(r) for r in mix.collect()} == {tuple(r) for r in again.collect()}
+    capped = mix_plan(sizes, targets, total=1e9)
+    assert {(r["source"], r["copies"]) for r in capped.collect()} == {("big", 1.0), ("small", 3.0), ("absent", 0.0)}
+    assert mix_sources(sizes.limit(0), mix_plan(sizes.limit(0), targets)).count() == 0
+    assert spark.range(1).select(folded_name(F.lit("\t News_Digest "))).first()[0] == "news_digest"
+
+
+# ---- subjects
+
+WORDS = {
+    "law": ("the court", "the plaintiff", "a settlement", "the verdict", "dismisses the claim", "orders disclosure", "grants leave to appeal", "voids the contract"),
+    "sport": ("the striker", "the coach", "a goalkeeper", "the league", "wins the derby", "misses the penalty", "trains before the match", "leads the table"),
+    "energy": ("the refinery", "a wind farm", "the grid", "the reactor", "curtails output", "feeds megawatts", "burns crude", "restarts after maintenance"),
+}
+CLERICAL = ("Please reply by Monday.", "See the attached list.", "Nothing further was added.", "Thanks to everyone who replied.")
+
+
+def corpus(n, seed=1):
+    rnd = random.Random(seed)
+    docs, truth = [], {}
+    for i in range(n):
+        names = rnd.sample(sorted(WORDS), 1 if rnd.random() < 0.7 else 2)
+        lines = [f"{rnd.choice(WORDS[s][:4])} {rnd.choice(WORDS[s][4:])} again.".capitalize() for s in names for _ in range(3)] + [rnd.choice(CLERICAL) for _ in range(rnd.randint(0, 2))]
+        rnd.shuffle(lines)
+        docs.append((i, " ".join(lines)))
+        truth[i] = set(names)
+    return docs, truth
+
+
+def test_subjects_of_held_out_documents(spark):
+    docs, truth = corpus(300)
+    extra = [(900, None), (901, ""), (902, " 123 \n 45 "), (903, "Please reply by Monday. See the attached list."), (904, " ".join(t for _, t in docs[:40]) * 3), (0, docs[0][1])]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in docs + extra], "doc_id long, text string, subject string")
+    labels = [(i, s) for i in range(120) for s in truth[i]] + [(None, "law"), (5, None), (6, "cooking"), (0, next(iter(truth[0])))]
+    out = assign_subjects(df, spark.createDataFrame(labels, "doc_id long, subject string"), sorted(WORDS))
+    got = {}
+    for r in out.filter("posterior >= 0.5").collect():
+        got.setdefault(r["doc_id"], set()).add(r["subject"])
+    held = range(120, 300)
+    right = sum(got.get(i, set()) == truth[i] for i in held)
+    assert right >= 0.97 * len(held)
+    assert not {900, 901, 902} & {r["doc_id"] for r in out.collect()} and 903 not in got and got[904] == set(WORDS)
+    assert assign_subjects(df.limit(0), spark.createDataFrame([], "doc_id long, subject string"), sorted(WORDS)).count() == 0
+
+
+def test_sentence_features():
+    lengths, features = sentence_features("<p>One two.</p> 12 34!\nThree", {})
+    assert lengths == [3, 1] and len(features) == 4
+    assert sentence_features(None, {})[0] == [] and sentence_features("12 34", {})[0] == []
+    assert len(sentence_features("word " * 200_000, {})[0]) == 1
+
+
+def test_calibration_moves_with_the_labels():
+    shares = np.array([[0.02], [0.05], [0.4], [0.9]] * 20)
+    (slope, half), = calibrate(shares, np.array([[0], [0], [1], [1]] * 20))
+    assert slope >= 5 and 0.05 < half < 0.4
+    assert calibrate(np.empty((0, 1)), np.empty((0, 1)))[0] == pytest.approx((40.0, 0.18))
+
+
+def test_queries_are_registered():
+    import __spark_entry__ as entry
+
+    assert {"p3_sample", "p6_found", "p7_ids", "p8_mix", "p9_found"} <= set(entry.queries())
