@@ -34,9 +34,9 @@ FEATURES = 1 << 17
 LABELLED_BOUND = 100_000
 #: Weight of an unlabelled sentence in the EM, smoothing, passes, and log prior of a subject that a labelled document lacks.
 UNLABELLED, ALPHA, PASSES, ABSENT = 0.5, 0.1, 3, -4.0
-#: A feature is specific if the subjects it occurs in diverge from the usual mix by more nats than DIVERGENCE;
-#: a sentence with a lower share of specific features than SPECIFIC seeds the class without subject.
-DIVERGENCE, SPECIFIC = 0.5, 0.34
+#: A feature is specific if the subjects it occurs in diverge from the usual mix by more than DIVERGENCE of what
+#: a feature of its main subject alone would; a sentence with a lower share of specific features than SPECIFIC seeds the class without subject.
+DIVERGENCE, SPECIFIC = 0.2, 0.34
 #: Prior of the calibration: slope, and share of sentences at which a subject is as likely as not.
 SLOPE, HALF = 40.0, 0.18
 
@@ -160,7 +160,8 @@ def train(parsed: DataFrame, labelled: DataFrame, subjects: int) -> np.ndarray:
     counts = _counted(labelled, subjects, lambda m, d, n, f: _even(m, d, subjects))[:, :subjects]
     share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-12)
     usual = counts.sum(axis=0) / max(counts.sum(), 1e-12)
-    specific = (share * np.log(np.maximum(share, 1e-12) / np.maximum(usual, 1e-12))).sum(axis=1) > DIVERGENCE
+    diverged = (share * np.log(np.maximum(share, 1e-12) / np.maximum(usual, 1e-12))).sum(axis=1)
+    specific = diverged > DIVERGENCE * -np.log(np.maximum(usual[share.argmax(axis=1)], 1e-12))
     context = labelled.sparkSession.sparkContext
     held = context.broadcast(specific)
 
