@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm.automaton import Encoder, MergeAutomaton, byte_symbols, encode_corpus, tokenizer_path
 from tidepanel.llm.mixing import folded_name, mix_plan, mix_shares, mix_sources
-from tidepanel.llm.sampling import SampleLedger, allocate, priority, proportional_quotas, proportional_sample, smallest
+from tidepanel.llm.sampling import SampleLedger, allocate, proportional_quotas, proportional_sample
 from tidepanel.llm.subjects import assign_subjects, calibrate, sentence_features
+from tidepanel.operators.selection import priority, smallest
 
 c = F.col
 SF = "/root/testdata/sf0.001"
@@ -130,6 +131,8 @@ def test_ledger_keeps_members_whatever_the_layout(spark, tmp_path):
     assert all(None not in k for k in states[-1])
     ranks = ledger.read(1).agg(F.max("priority")).first()[0]
     assert keys(spark, 300).select(priority("s", c("permno"), c("dlycaldt")).alias("p")).filter(c("p") <= ranks).count() == 30
+    again = SampleLedger(spark, str(tmp_path / "a"), ["permno", "dlycaldt"], 0.1, "s")
+    assert again.generation == 4 and again.update(keys(spark, 1000)).count() == 100
     empty = SampleLedger(spark, str(tmp_path / "c"), ["permno", "dlycaldt"], 0.1, "s")
     assert empty.update(keys(spark, 0)).count() == 0 and empty.update(keys(spark, 50)).count() == 5
 

@@ -5,48 +5,29 @@ from __future__ import annotations
 from fractions import Fraction
 from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.session import sized
-
-#: Hex digits of a priority that make a bin of its histogram: 16**3 bins a category.
-BIN_DIGITS = 3
-
-
-def priority(seed: str, *parts: Column) -> Column:
-    """A uniform, reproducible rank of a record: md5 of the seed and its key."""
-    return F.md5(F.concat_ws("|", F.lit(seed), *[p.cast("string") for p in parts]))
-
-
-def smallest(rows: DataFrame, quotas: DataFrame, category: list[str], key: list[str]) -> DataFrame:
-    """Per category the ``quota`` rows of the smallest ``priority``; ties by ``key``.
-
-    ``quotas`` has the category columns and ``quota``. A histogram of priority
-    prefixes, counted map-side, shows which bins are taken whole and in which one
-    the quota ends; only that bin is ranked, so that a category holding a third of
-    all rows never meets in one task. Categories without quota give nothing.
-    """
-    binned = rows.withColumn("_bin", F.substring("priority", 1, BIN_DIGITS))
-    by = Window.partitionBy(*category).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    counts = binned.groupBy(*category, "_bin").agg(F.count("*").alias("_n"))
-    cuts = counts.withColumn("_upto", F.sum("_n").over(by)).join(F.broadcast(quotas), category).withColumn("_need", F.col("quota") - (F.col("_upto") - F.col("_n"))).filter("_need > 0")
-    cuts = sized(cuts.select(*category, "_bin", "_need", (F.col("_need") >= F.col("_n")).alias("_whole")))
-    taken = binned.join(cuts, [*category, "_bin"])
-    edge = Window.partitionBy(*category, "_bin").orderBy("priority", *key)
-    part = taken.filter("not _whole").withColumn("_k", F.row_number().over(edge)).filter("_k <= _need").drop("_k")
-    return taken.filter("_whole").unionByName(part).drop("_bin", "_need", "_whole")
+from tidepanel.operators.selection import priority, smallest
 
 
 class SampleLedger:
     """A sample kept as a persisted ledger of (key columns, priority, generation).
 
-    Each update writes the ledger's next state under ``folder``; members stay.
+    Each update writes the ledger's next state under ``folder``; members stay. A
+    ledger opened on a folder that has states goes on from the last whole one.
     """
 
     def __init__(self, spark: SparkSession, folder: str, key: list[str], rate: float, seed: str) -> None:
         self.spark, self.folder, self.key, self.rate, self.seed = spark, folder, key, Fraction(str(rate)), seed
         self.generation = 0
+        while self._whole(self.generation + 1):
+            self.generation += 1
+
+    def _whole(self, generation: int) -> bool:
+        """Whether a state was written to its end."""
+        mark = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/generation={generation}/_SUCCESS")
+        return mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(mark)
 
     def read(self, generation: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/generation={self.generation if generation is None else generation}")
