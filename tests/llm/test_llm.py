@@ -161,7 +161,7 @@ def test_allocation():
 
 def test_proportional_sample(spark):
     rows = [(i, day(i), 2020, "low" if i < 400 else "high") for i in range(1000)] + [(5000 + i, day(i), 2021, "low") for i in range(3)]
-    population = spark.createDataFrame(rows, "permno long, dlycaldt date, y int, r string")
+    population = spark.createDataFrame(rows, "permno long, dlycaldt date, y int, r string").withColumns({"priority": F.lit("x"), "available": F.lit(1), "quota": F.lit(5), "_bin": F.lit("b")})
     targets = spark.createDataFrame([(2020, "low", 0.5, 5), (2020, "high", 0.4, 5), (2021, "low", 0.1, 4), (2022, "low", 0.0, 2), (2023, "low", None, None)], "y int, r string, s double, m int")
     quotas = proportional_quotas(population, targets, category=["y", "r"], share="s", least="m", rate=0.1)
     got = {(r["y"], r["r"]): r for r in quotas.collect()}
@@ -182,7 +182,7 @@ def test_mix_reaches_the_weights(spark):
     rnd = random.Random(3)
     rows = [(i, "big" if i < 3000 else "small" if i < 3300 else "left out", rnd.randint(5, 60)) for i in range(3400)]
     rows += [(9000, "big", 0), (9001, None, 7), (9002, "big", None), (9003, "small", 2000)]
-    sizes = spark.createDataFrame(rows, "key long, source string, size long")
+    sizes = spark.createDataFrame(rows, "key long, source string, size long").withColumns({"tokens": F.lit(1), "copies": F.lit("x"), "used": F.lit(2)})
     targets = spark.createDataFrame([(" Big ", 0.6, 1), ("small", 0.3, 3), ("absent", 0.1, 2), (None, 0.5, 1)], "source string, target_weight double, max_repeats int")
     plan = mix_plan(sizes, targets)
     mix = mix_sources(sizes, plan)

@@ -75,7 +75,7 @@ def mix_sources(sizes: DataFrame, plan: DataFrame, seed: int = 20260101) -> Data
     Documents without tokens and of sources without target are not used.
     Repeated rows are documents of their own.
     """
-    rows = sizes.filter("size > 0").join(F.broadcast(plan.filter("copies > 0").select("source", "tokens", "copies", "max_repeats")), "source")
+    rows = sizes.select("key", "source", "size").filter("size > 0").join(F.broadcast(plan.filter("copies > 0").select("source", "tokens", "copies", "max_repeats")), "source")
     large = F.col("size") > LARGE * F.col("copies") * F.col("tokens")
     first = staged(_systematic(rows.filter(large), seed))
     used = first.groupBy("source").agg(F.sum(F.col("size") * F.col("uses")).alias("used"))

@@ -112,8 +112,12 @@ def proportional_quotas(population: DataFrame, targets: DataFrame, *, category:
 
 
 def proportional_sample(population: DataFrame, quotas: DataFrame, *, category: list[str], key: list[str], seed: str) -> DataFrame:
-    """Members of each category with the smallest random keys, as many as its quota."""
-    ranked = population.withColumn("priority", priority(seed, *[F.col(k) for k in key]))
+    """(key, category) of each category's members with the smallest random keys, as many as its quota.
+
+    Other columns are left out. Members with a null category or of a category
+    without quota are never drawn; an empty population gives no rows.
+    """
+    ranked = population.select(*key, *category).withColumn("priority", priority(seed, *[F.col(k) for k in key]))
     return smallest(ranked, quotas.select(*category, "quota"), category, key).drop("priority")
 
 
