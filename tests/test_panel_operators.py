@@ -135,6 +135,22 @@ def test_guards(spark):
     assert guards.violations(vix, guards.index_rules(date(2005, 1, 1), date(2024, 12, 31))).first().asDict() == {"missing_date": 0, "placeholder": 1, "partial": 1, "not_positive": 1, "close_outside": 2, "open_outside": 1, "outside_sample": 1}
 
 
+def test_parameter_and_metadata_guards(spark):
+    df = spark.createDataFrame([(1.0, 0.1, 0.8, 1.0), (1.0, 0.5, 0.6, 1.0), (None, None, None, None), (1.0, 0.1, 0.8, float("nan"))], "omega double, alpha double, beta double, initial double")
+    assert guards.violations(df, {"bad": guards.bad_parameters()}).first()[0] == 2
+    logs = spark.createDataFrame([(1.0, 0.0), (2.0, 0.0)], "v double, l double")
+    assert guards.violations(logs, {"bad": guards.inconsistent_log("v", "l")}).first()[0] == 1
+    for low, high in ((2.0, 1.0), (None, 1.0), (1.0, 1.0)):
+        with pytest.raises(guards.GuardError):
+            guards.require_ordered(low, high, "x")
+    guards.require_partition({"g": ["a"], "h": ["b"]}, ["b", "a"], "x")
+    with pytest.raises(guards.GuardError):
+        guards.require_partition({"g": ["a"], "h": ["a"]}, ["b", "a"], "x")
+    guards.require_same_identity({"a": {"h": 1}, "b": {"h": 1}}, ["h"])
+    with pytest.raises(guards.GuardError):
+        guards.require_same_identity({"a": {"h": 1}, "b": {"h": 2}}, ["h"])
+
+
 def test_panels(spark):
     a = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, None)], "k long, x double")
     b = spark.createDataFrame([(1, 1.0), (2, 2.5), (4, 1.0)], "k long, x double")

@@ -11,7 +11,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.functions.columns import all_true, any_true, finite
+from tidepanel.functions.columns import all_true, any_true, close_to, finite
 
 
 class GuardError(ValueError):
@@ -86,6 +86,38 @@ def outside_domain(column: str, domain: list[str]) -> Column:
     return ~F.coalesce(F.col(column).isin(domain), F.lit(False))
 
 
+def bad_parameters(omega: str = "omega", alpha: str = "alpha", beta: str = "beta", initial: str = "initial") -> Column:
+    """Fitted variance parameters that aren't positive and stationary; rows without a fit pass."""
+    o, a, b, h = (F.col(x) for x in (omega, alpha, beta, initial))
+    good = all_true([finite(x) for x in (o, a, b, h)]) & (o > 0) & (a >= 0) & (b >= 0) & (a + b < 1) & (h > 0)
+    return o.isNotNull() & ~good
+
+
+def inconsistent_log(value: str, log_value: str) -> Column:
+    """A stored logarithm that isn't that of its value."""
+    return ~close_to(F.col(log_value), F.ln(value))
+
+
+def require_ordered(low: float | None, high: float | None, label: str) -> None:
+    if low is None or high is None or not low < high:
+        raise GuardError(f"{label}: thresholds {low} and {high} aren't in order")
+
+
+def require_partition(groups: dict[str, list[str]], names: list[str], label: str) -> None:
+    """Every name is in exactly one group, and nothing else is."""
+    held = sorted(n for g in groups.values() for n in g)
+    if held != sorted(names):
+        raise GuardError(f"{label}: the groups don't divide the columns")
+
+
+def require_same_identity(documents: dict[str, dict], fields: list[str]) -> None:
+    """Metadata documents that belong together agree in ``fields`` (hashes, order of features)."""
+    for f in fields:
+        seen = {name: repr(d.get(f)) for name, d in documents.items()}
+        if len(set(seen.values())) > 1:
+            raise GuardError(f"{f} differs: {sorted(seen)}")
+
+
 def index_rules(first: date, last: date, columns: tuple[str, str, str, str] = ("vixo", "vixh", "vixl", "vix_close"), day: str = "date") -> dict[str, Column]:
     """Rules of a daily index level: partial rows, signs, ranges and the sample period."""
     opening, high, low, close = (F.col(c) for c in columns)

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.columns import all_finite, close_to, qlike, regime, rounded
+from tidepanel.functions.columns import all_finite, close_to, estimate_text, qlike, regime, rounded
 from tidepanel.operators import evaluation as ev
 from tidepanel.operators import garch, guards, panels, ranking, temporal, timeseries
 from tidepanel.operators.references import padded_key
@@ -267,6 +267,7 @@ def _thresholds(spark: SparkSession, d: str) -> DataFrame:
 def regime_assign(spark: SparkSession, d: str) -> DataFrame:
     """The regime of each date from the locked thresholds."""
     low, high = _thresholds(spark, d).first()
+    guards.require_ordered(low, high, "regimes")
     return index_levels(spark, d).select("d", "v", regime(c("v"), F.lit(low), F.lit(high)).alias("regime"))
 
 
@@ -413,6 +414,44 @@ def argmin_candidate(spark: SparkSession, d: str) -> DataFrame:
     return q.orderBy("q", "model").limit(1).select("model", F.round("q", 8).alias("qlike"))
 
 
+# ---- report tables
+
+@query(f"with {FORECASTS} select count(*) as rows, count(distinct permno) entities, count(distinct dlycaldt) dates, min(dlycaldt) first_origin, max(dlycaldt) last_origin from fc")
+def report_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Size and period of the evaluation sample."""
+    return forecasts(spark, d).agg(F.count("*").alias("rows"), F.countDistinct("permno").alias("entities"), F.countDistinct("dlycaldt").alias("dates"), F.min("dlycaldt").alias("first_origin"), F.max("dlycaldt").alias("last_origin"))
+
+
+@query(f"with {FORECASTS}, m as (select model, sqrt(avg(se)) rmse, avg(ae) mae, avg(ql) qlike from losses group by 1), g as (select * from m where model = 'garch') select m.model, round(m.rmse, 8) rmse, round(m.mae, 8) mae, round(m.qlike, 8) qlike, "
+       + ", ".join(f"round(100 * (m.{x} - g.{x}) / g.{x}, 6) + 0.0 {x}_change" for x in ("rmse", "mae", "qlike")) + " from m, g")
+def report_overall(spark: SparkSession, d: str) -> DataFrame:
+    """Overall metrics and their change in percent against the benchmark."""
+    names = ("rmse", "mae", "qlike")
+    m = _losses(spark, d).groupBy("model").agg(*ev.pooled_metrics())
+    base = {x: F.max(F.when(c("model") == "garch", c(x))).over(Window.partitionBy(F.lit(1))) for x in names}  # one row per model
+    return m.select("model", *[rounded(c(x)).alias(x) for x in names], *[rounded(100 * (c(x) - base[x]) / base[x], 6).alias(f"{x}_change") for x in names])
+
+
+@query(f"with {FORECASTS} select model, " + ", ".join(f"round(avg(ql) filter (where regime = '{x}'), 8) {x}" for x in ("low", "middle", "high")) + " from losses group by 1")
+def report_regimes(spark: SparkSession, d: str) -> DataFrame:
+    """QLIKE per model and regime as a table."""
+    out = _losses(spark, d).groupBy("model").pivot("regime", ["low", "middle", "high"]).agg(F.avg("qlike"))
+    return out.select("model", *_r("low", "middle", "high"))
+
+
+@query()
+def report_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Hypothesis estimates with their intervals as text."""
+    return hypothesis_decisions(spark, d).select("hypothesis", "comparison", estimate_text(c("estimate"), c("ci_lower"), c("ci_upper"), 5).alias("interval"), "holds", "status")
+
+
+@query("select panel_id, permno, dlycaldt, forecast_garch from final_panel where forecast_garch > 0.08 and not isnan(forecast_garch) order by forecast_garch desc, panel_id limit 20")
+def absurd_forecasts(spark: SparkSession, d: str) -> DataFrame:
+    """The twenty greatest forecasts beyond a bound."""
+    rows = table(spark, d, "final_panel").filter((c("forecast_garch") > 0.08) & ~F.isnan("forecast_garch"))
+    return rows.orderBy(F.desc("forecast_garch"), "panel_id").limit(20).select("panel_id", "permno", "dlycaldt", "forecast_garch")
+
+
 # ---- profiles
 
 @query(f"with {VOL} select count(vol) n, round(avg(vol), 8) mean, round(stddev_samp(vol), 8) std, round(min(vol), 8) \"min\", round(quantile_cont(vol, 0.25), 8) q25, round(quantile_cont(vol, 0.5), 8) q50, round(quantile_cont(vol, 0.75), 8) q75, round(max(vol), 8) \"max\" from vols")
