@@ -40,6 +40,9 @@ DIVERGENCE, SPECIFIC = 0.2, 0.34
 #: Prior of the calibration: slope, and share of sentences at which a subject is as likely as not.
 SLOPE, HALF = 40.0, 0.18
 
+#: Repeated phrases give repeated runs of hashes, which a dictionary's bit packing would hide from the compression.
+PACKED = {"compression": "zstd", "parquet.enable.dictionary": "false"}
+
 _TAG = re.compile(r"<[^<>]{1,80}>")
 _CUT = re.compile(r"(?<=[.!?;])\s+|[\n\r]+|\s--\s")
 _WORD = re.compile(r"[^\W\d_]{2,}")
@@ -243,9 +246,9 @@ def assign_subjects(documents: DataFrame, labels: DataFrame, names: list[str], *
     joined = documents.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(sized(marked), F.col("_id") == F.col("_key"), "left")
     spark = documents.sparkSession
     folder = f"{shared_folder(spark)}/subjects-{uuid.uuid4().hex}"
-    parse_documents(joined, key=F.col("_id"), text=F.col("_text"), mask=F.col("_mask")).write.parquet(f"{folder}/parsed")
+    parse_documents(joined, key=F.col("_id"), text=F.col("_text"), mask=F.col("_mask")).write.options(**PACKED).parquet(f"{folder}/parsed")
     parsed = spark.read.parquet(f"{folder}/parsed")
-    parsed.filter("mask > 0").write.parquet(f"{folder}/labelled")
+    parsed.filter("mask > 0").write.options(**PACKED).parquet(f"{folder}/labelled")
     labelled = spark.read.parquet(f"{folder}/labelled")
     weights = train(parsed, labelled, len(names))
     known = subject_shares(labelled, weights).toArrow()
