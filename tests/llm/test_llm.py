@@ -137,6 +137,20 @@ def test_ledger_keeps_members_whatever_the_layout(spark, tmp_path):
     assert empty.update(keys(spark, 0)).count() == 0 and empty.update(keys(spark, 50)).count() == 5
 
 
+def test_sample_keeps_members_at_any_cut(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    sample = entry.queries()["p3_sample"]
+    full = spark.createDataFrame([(i % 7, day(i), day(i * 2)) for i in range(2500)], "permno long, dlycaldt date, loaded date").withColumn("loaded_at", c("loaded").cast("timestamp_ntz"))
+    first, states = full.agg(F.min("loaded")).first()[0], []
+    for days in (700, 2300, 3100, 6000):  # none of them a cut of the query
+        full.filter(c("loaded") < F.lit(first + timedelta(days=days))).write.mode("overwrite").parquet(f"{tmp_path}/final_panel.parquet")
+        states.append({(r["permno"], r["dlycaldt"]) for r in sample(spark, str(tmp_path)).collect()})
+    assert all(a < b for a, b in zip(states, states[1:]))
+    assert len(states[-1]) == 50
+    assert states[-1] == {(r["permno"], r["dlycaldt"]) for r in sample(spark, f"{tmp_path}/").collect()}
+
+
 def test_allocation():
     f = [Fraction(x) for x in ("0.5", "0.3", "0.2")]
     assert allocate(10, f, [0, 0, 0], [99, 99, 99]) == [5, 3, 2]

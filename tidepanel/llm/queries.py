@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from tidepanel.llm.automaton import encode_corpus
 from tidepanel.llm.mixing import folded_name, mix_plan, mix_shares, mix_sources
 from tidepanel.llm.sampling import SampleLedger, proportional_quotas, proportional_sample
 from tidepanel.llm.subjects import assign_subjects
-from tidepanel.session import shared_folder, staged
+from tidepanel.session import kept_folder, staged
 from tidepanel.sources.tables import table
 
 c = F.col
@@ -26,14 +26,23 @@ SEED = "panel-sample-1"
 def _ledger(spark: SparkSession, d: str) -> DataFrame:
     key = ["permno", "dlycaldt"]
     arrived = staged(table(spark, d, "final_panel").select(*key, "loaded_at").dropna(subset=key).groupBy(*key).agg(F.min("loaded_at").alias("arrived")))
-    ledger = SampleLedger(spark, f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}", key, LEDGER_RATE, SEED)
-    for cut in LEDGER_CUTS:
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/final_panel")
+    place = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    identity = hashlib.sha256("|".join([place, *key, str(LEDGER_RATE), SEED]).encode()).hexdigest()[:32]
+    ledger = SampleLedger(spark, kept_folder(spark, f"ledger-{identity}"), key, LEDGER_RATE, SEED)
+    # a ledger that has been through the early states goes on with the table as it is now
+    for cut in LEDGER_CUTS[min(ledger.generation, len(LEDGER_CUTS) - 1) :]:
         ledger.update(arrived if cut is None else arrived.filter(c("arrived") < F.lit(cut).cast("timestamp_ntz")))
     return ledger.read()
 
 
 def p3_sample(spark: SparkSession, d: str) -> DataFrame:
-    """A sample of the panel's keys that kept its members through four states of the table."""
+    """A sample of the panel's keys that keeps its members as the table in folder ``d`` grows.
+
+    The first call takes the sample through four states of the table; each later
+    one, also of another session with the same ``spark.checkpoint.dir``, joins the
+    members kept before and adds to them.
+    """
     return _ledger(spark, d).select("permno", "dlycaldt", "generation")
 
 

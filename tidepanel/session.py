@@ -44,6 +44,15 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def kept_folder(spark: SparkSession, name: str) -> str:
+    """A folder ``name`` beside the session's checkpoints, the same for every later session.
+
+    The checkpoint folder itself is a new one for each session.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark)).getParent()
+    return f"{folder.toString()}/kept/{name}"
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder, its lineage cut."""
     shared_folder(df.sparkSession)
