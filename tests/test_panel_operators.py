@@ -304,6 +304,33 @@ def test_selection_and_resume(spark, tmp_path):
         forests.tune(grid, df, df, actual="y", trees=4, state=state, identity="other")
 
 
+def toy_models(spark, monkeypatch):
+    """The model queries over a toy matrix; each fit is recorded and made with two small trees."""
+    from tidepanel.plans import models
+
+    x = np.random.default_rng(3).normal(size=(80, len(models.FEATURES)))
+    rows = [(i, day(i), *map(float, v), float(np.exp(v[0])), i < 40, 40 <= i < 60, i < 60, i >= 60) for i, v in enumerate(x)]
+    names = ["permno", "d", *models.FEATURES, "target_forward", "tuning_train", "validation", "final_refit", "test"]
+    df = forests.assembled(spark.createDataFrame(rows, names).coalesce(1), models.FEATURES, "target_forward").cache()
+    fits, fit = [], forests.fit
+    small = {k: fit(forests.Candidate("m", k, 2, 2), df.filter("final_refit"), trees=2) for k in models.KINDS}
+    monkeypatch.setattr(models, "_assembled", lambda spark, d: df)
+    monkeypatch.setattr(forests, "fit", lambda candidate, train, *, trees, seed=42: fits.append((candidate, trees, train.count())) or small[candidate.kind])
+    return models, fits, small
+
+
+def test_model_queries_score_the_whole_grids(spark, monkeypatch):
+    models, fits, _ = toy_models(spark, monkeypatch)
+    out = models.model_selection(spark, "").collect()
+    assert {r["candidate"] for r in out} == {x.name for x in (*forests.forest_grid(), *forests.boosting_grid())}
+    assert sum(r["selected"] for r in out) == 2
+    assert {(x.name, n) for x, n, rows in fits if rows == 40 and n > 2} == {(x.name, 400) for x in forests.forest_grid()} | {(x.name, 1500) for x in forests.boosting_grid()}
+    best = {r["candidate"] for r in out if r["selected"]}
+    fits.clear()
+    assert models.rf_forecast(spark, "").count() == models.gbt_forecast(spark, "").count() == 20
+    assert {x.name for x, _, rows in fits if rows == 60} == best and len(fits) == 2
+
+
 def test_sources_and_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, 0.5), (2, 0.7)], "k long, f double")
     path = str(tmp_path / "t")
