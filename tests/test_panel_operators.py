@@ -331,6 +331,20 @@ def test_model_queries_score_the_whole_grids(spark, monkeypatch):
     assert {x.name for x, _, rows in fits if rows == 60} == best and len(fits) == 2
 
 
+def test_shap_explains_the_forecasting_models(spark, monkeypatch):
+    models, fits, _ = toy_models(spark, monkeypatch)
+    forecasts = {"forest": models.rf_forecast(spark, ""), "boosting": models.gbt_forecast(spark, "")}
+    refits = [(x, n) for x, n, rows in fits if rows == 60]
+    fits.clear()
+    out = models.tree_shap(spark, "")
+    assert [(x, n) for x, n, rows in fits if rows == 60] == refits and len(refits) == 2
+    for kind, df in forecasts.items():
+        want = {r["permno"]: math.log(r["forecast"]) for r in df.collect()}
+        assert {r["permno"]: r["prediction"] for r in out.filter(c("model") == kind).collect()} == pytest.approx(want)
+    groups, top = models.shap_groups(spark, ""), models.shap_top_features(spark, "")
+    assert {r["model"] for r in groups.collect()} == {r["model"] for r in top.collect()} == {"forest", "boosting"}
+
+
 def test_sources_and_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, 0.5), (2, 0.7)], "k long, f double")
     path = str(tmp_path / "t")
