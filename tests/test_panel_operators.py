@@ -304,6 +304,20 @@ def test_selection_and_resume(spark, tmp_path):
         forests.tune(grid, df, df, actual="y", trees=4, state=state, identity="other")
 
 
+def test_common_panel_holds_five_models_over_all_dates(spark, tmp_path):
+    import __spark_entry__ as entry
+    from tidepanel.plans.base import MODELS
+
+    values = ["target_forward_21d", *MODELS.values()]
+    rows = [(i, i % 3, day(400 * i), day(400 * i + 30), True, "low", *[0.1 + 0.01 * i] * 6) for i in range(12)]
+    names = ["panel_id", "permno", "dlycaldt", "target_end_date", "has_earnings_forward_21d", "vix_regime", *values]
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/final_panel.parquet")
+    out = entry.queries()["forecast_common_panel_all"](spark, str(tmp_path))
+    assert set(values) <= set(out.columns)
+    assert {(r["permno"], r["dlycaldt"]) for r in out.collect()} == {(r[1], r[2]) for r in rows}
+    assert max(r[2] for r in rows) >= date(2020, 1, 1)
+
+
 def toy_models(spark, monkeypatch):
     """The model queries over a toy matrix; each fit is recorded and made with two small trees."""
     from tidepanel.plans import models

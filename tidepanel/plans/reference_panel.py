@@ -279,11 +279,20 @@ def _two_forecasts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query(f"with {FORECASTS} select permno, dlycaldt, target_forward_21d, forecast_naive, forecast_ewma, forecast_garch from fc where dlycaldt < date '2020-01-01'")
 def forecast_common_panel(spark: SparkSession, d: str) -> DataFrame:
-    """Complete cases of forecasts joined one to one."""
+    """Complete cases of three forecasts joined one to one, before 2020 only as in its SQL; ``forecast_common_panel_all`` has all."""
     a, b = _two_forecasts(spark, d)
     return panels.common_panel(a, {"b": b.drop("target_again")}, ["permno", "dlycaldt"], ["forecast_naive", "forecast_ewma", "forecast_garch"])
 
 
+@query(f"with {FORECASTS} select permno, dlycaldt, target_forward_21d, {', '.join(MODELS.values())} from fc")
+def forecast_common_panel_all(spark: SparkSession, d: str) -> DataFrame:
+    """Complete cases of all five models over all dates, the classical, forest and boosting sides joined one to one."""
+    rows = forecasts(spark, d)
+    side = lambda *names: rows.select("permno", "dlycaldt", *names)
+    classical = side("target_forward_21d", "forecast_naive", "forecast_ewma", "forecast_garch")
+    return panels.common_panel(classical, {"forest": side("forecast_random_forest"), "boosting": side("forecast_xgboost")}, ["permno", "dlycaldt"], list(MODELS.values()))
+
+
 @query(f"with {FORECASTS} select count(*) filter (where dlycaldt < date '2020-01-01') \"both\", count(*) filter (where dlycaldt >= date '2020-01-01') left_only, 0::bigint right_only, count(*) filter (where dlycaldt < date '2020-01-01' and not abs(target_forward_21d - target_forward_21d * 1.0000001) <= 1e-8 + 1e-5 * target_forward_21d) different from fc")
 def key_mismatch_full_outer(spark: SparkSession, d: str) -> DataFrame:
     """Keys of one side only, and values that differ beyond the tolerance."""
