@@ -80,6 +80,13 @@ def test_level_rule(spark):
     assert {(r["order"], r["spike"], r["stuck"]) for r in out.collect()} == {(10, True, False), (20, True, False), (30, False, True)}
 
 
+@pytest.mark.parametrize("n", [12, 25, 29])
+def test_spikes_in_a_long_run(spark, n):
+    run = range(80, 80 + n)
+    rows = [(i, 1, day(i), 0.001 * (1 + 0.001 * i) * (100 if i in run else 1), "N") for i in range(200)]
+    assert {k for k, x in flagged(spark, rows).items() if x[1]} == set(run)
+
+
 def test_spikes_of_an_empty_table(spark):
     assert flagged(spark, []) == {}
 

@@ -112,6 +112,21 @@ def vanishing_variance(innovations: np.ndarray, memory: float = 0.5) -> np.ndarr
     return out
 
 
+def outweighing(sizes: np.ndarray, low: np.ndarray, high: np.ndarray, rule: SpikeRule) -> np.ndarray:
+    """Whether half of the readings around each one lie a multiple of the rule away from it.
+
+    True wherever the exact check can hold, also inside a long run to which the
+    filter has adapted; a small slack covers rounding.
+    """
+    around = np.lib.stride_tricks.sliding_window_view(np.pad(sizes, rule.half_window, constant_values=np.nan), 2 * rule.half_window + 1)
+    known = (~np.isnan(around)).sum(axis=1)
+    multiple = min(rule.ratio, rule.market_ratio)
+    over = 2 * (around * multiple < (high + 1e-9 * np.abs(high))[:, None]).sum(axis=1) >= known
+    if rule.two_sided:
+        over |= 2 * (around > (multiple * low - 1e-9 * np.abs(low))[:, None]).sum(axis=1) >= known
+    return over & (known > 0)
+
+
 #: Columns that a source's filter reports for times with a finding.
 FOUND = pa.schema([
     ("source", pa.int64()), ("day", pa.int32()), ("head", pa.int64()), ("centre", pa.float64()), ("move", pa.float64()),
@@ -161,6 +176,7 @@ def source_findings(source: int, day: np.ndarray, order: np.ndarray, first: np.n
         stuck &= ~zero
     sizes = np.abs(first)
     sizes[~np.isfinite(sizes) | ((sizes == 0) & (not rule.two_sided))] = np.nan
+    candidate |= outweighing(sizes, low, high, rule)
     centre, move = np.full(len(first), np.nan), np.full(len(first), np.nan)
     for i in np.flatnonzero(candidate):
         part = sizes[max(0, i - rule.half_window) : i + rule.half_window + 1]
