@@ -178,3 +178,19 @@ def test_asof_against_brute_force(spark, bucket_rows):
         assert (r["then"], r["own"]) == (want, own)
     assert {r["then"] for r in asof_attributes(e, iv.limit(0), ["then"], record=c("id"), entity=c("entity"), time=c("d")).collect()} == {None}
     assert asof_attributes(e.limit(0), iv, ["then"], record=c("id"), entity=c("entity"), time=c("d")).count() == 0
+
+
+def test_attributes_of_rows_without_key(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(1, None, "000001", day(9), None), (2, 7, "000001", None, None), (3, None, None, day(9), None), (4, 7, "000001", day(9), True), (5, None, None, day(9), True)]
+    tables = {
+        "daily_prices": (rows, "row_id long, permno long, gvkey string, dlycaldt date, in_sp500_membership boolean"),
+        "link_history": ([("000001", 7, day(0), None, "LC", "P", day(0))], "gvkey string, permno long, linkdt date, linkenddt date, linktype string, linkprim string, recorded_on date"),
+        "universe": ([(7, day(0), None, day(0))], "permno long, universe_start date, universe_end date, recorded_on date"),
+    }
+    for name, (data, kinds) in tables.items():
+        spark.createDataFrame(data, kinds).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r["row_id"]: (r["gvkey_then"], r["member_then"]) for r in entry.queries()["p5_attributes"](spark, str(tmp_path)).collect()}
+    assert got == {1: (None, False), 2: (None, False), 3: (None, False), 4: ("000001", True), 5: (None, False)}
+    assert {r["row_id"] for r in entry.queries()["p5_found"](spark, str(tmp_path)).collect()} == {1, 2, 5}

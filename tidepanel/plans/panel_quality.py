@@ -82,7 +82,7 @@ def _attributes(spark: SparkSession, d: str) -> DataFrame:
     spells = attribute_intervals(table(spark, d, "universe"), entity=c("permno"), start=c("universe_start"), end=c("universe_end"), known=c("recorded_on"), value=F.lit("1"), tie=F.lit(""), name="member_then")
     prices = table(spark, d, "daily_prices")
     carry = {"gvkey": c("gvkey"), "member": c("in_sp500_membership")}
-    joined = asof_attributes(prices.filter("permno is not null and dlycaldt is not null"), linked.unionByName(spells), ["gvkey_then", "member_then"], record=c("row_id"), entity=c("permno"), time=c("dlycaldt"), carry=carry)
+    joined = asof_attributes(prices, linked.unionByName(spells), ["gvkey_then", "member_then"], record=c("row_id"), entity=c("permno"), time=c("dlycaldt"), carry=carry)
     return joined.select(c("record").alias("row_id"), "gvkey", c("member").cast("boolean").alias("member"), "gvkey_then", c("member_then").isNotNull().alias("member_then"))
 
 
