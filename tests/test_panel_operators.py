@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.columns import close_to, complete, finite, number, qlike, regime
 from tidepanel.operators import evaluation as ev
-from tidepanel.operators import forests, garch, guards, panels, ranking, temporal, timeseries
+from tidepanel.operators import forests, garch, guards, panels, ranking, temporal, timeseries, treekernel
 from tidepanel.sources import scans, sinks
 
 c = F.col
@@ -280,16 +280,93 @@ def test_tree_models(spark):
 def test_shap_equals_the_definition():
     from itertools import combinations
 
-    leaf = (2.0, [(0, -np.inf, 0.5, 0.3), (1, 0.0, np.inf, 0.6), (2, -1.0, 1.0, 0.8)])
-    x = np.array([[0.2, -1.0, 0.0], [0.7, 1.0, 5.0]])
-    _, got = forests.shap_of_leaf(x, leaf)
-    for row, phi in zip(x, got, strict=True):
-        o = [float(a < row[f] <= b) for f, a, b, _ in leaf[1]]
-        v = lambda s, o=o: 2.0 * np.prod([o[j] if j in s else leaf[1][j][3] for j in range(3)])
-        for i in range(3):
-            rest = [j for j in range(3) if j != i]
-            want = sum(math.factorial(k) * math.factorial(2 - k) / 6 * (v({*s, i}) - v(set(s))) for k in range(3) for s in combinations(rest, k))
-            assert phi[i] == pytest.approx(want)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 4))
+    y = x[:, 0] + x[:, 0] * x[:, 1] + (x[:, 2] > 0.3) + rng.normal(size=400)
+    edges = treekernel.bin_edges(x)
+    tree = treekernel.with_edges(treekernel.forest_tree(treekernel.binned(x, edges), y, rng, depth=5, leaf=5, tried=2), edges)
+
+    def value(node, row, present):
+        f = int(tree.feature[node])
+        if f < 0:
+            return float(tree.value[node])
+        kids = (int(tree.left[node]), int(tree.right[node]))
+        if f in present:
+            return value(kids[0] if row[f] <= tree.threshold[node] else kids[1], row, present)
+        return sum(float(tree.cover[k] / tree.cover[node]) * value(k, row, present) for k in kids)
+
+    got, base = treekernel.shapley([tree], x[:6])
+    assert base == pytest.approx(value(0, x[0], set()))
+    for row, phi in zip(x[:6], got, strict=True):
+        for i in range(4):
+            rest = [j for j in range(4) if j != i]
+            want = sum(math.factorial(k) * math.factorial(3 - k) / 24 * (value(0, row, {*s, i}) - value(0, row, set(s))) for k in range(4) for s in combinations(rest, k))
+            assert phi[i] == pytest.approx(want, abs=1e-9)
+
+
+def test_first_split_equals_brute_force():
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 12, size=(200, 3)).astype(float)
+    y, w = rng.normal(size=200) + (x[:, 1] > 4), rng.integers(1, 4, 200).astype(float)
+    edges = treekernel.bin_edges(x)
+    tree = treekernel.grow(treekernel.binned(x, edges), y, w, rng, depth=1, least_rows=20, l2=0.5)
+    score = lambda m: (y * w)[m].sum() ** 2 / (w[m].sum() + 0.5)
+    gains = {(f, t): score(x[:, f] <= t) + score(x[:, f] > t) for f in range(3) for t in range(12) if min((x[:, f] <= t).sum(), (x[:, f] > t).sum()) >= 20}
+    assert (int(tree.feature[0]), edges[int(tree.feature[0])][int(tree.threshold[0])]) == max(gains, key=gains.get)
+    assert treekernel.leaves_of(tree, treekernel.binned(x, edges)).tolist() == [1 if v <= edges[tree.feature[0]][int(tree.threshold[0])] else 2 for v in x[:, tree.feature[0]]]
+    assert tree.value[1] == pytest.approx((y * w)[x[:, tree.feature[0]] <= edges[tree.feature[0]][int(tree.threshold[0])]].sum() / (tree.cover[1] + 0.5))
+
+
+def test_slices_of_a_level_don_t_change_the_tree(monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(500, 5))
+    codes, y = treekernel.binned(x, treekernel.bin_edges(x)), x[:, 0] + rng.normal(size=500)
+    whole = treekernel.grow(codes, y, None, rng, depth=None, least_rows=3)
+    monkeypatch.setattr(treekernel, "CELLS", 5 * 256 * 2)
+    sliced = treekernel.grow(codes, y, None, rng, depth=None, least_rows=3)
+    at = lambda t: t.value[treekernel.leaves_of(t, codes)]
+    np.testing.assert_allclose(at(whole), at(sliced))
+    assert np.bincount(treekernel.leaves_of(whole, codes))[whole.feature < 0].min() >= 3
+
+
+def test_boosting_stops_at_the_least_loss():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 4))
+    y = x[:, 0] + rng.normal(size=300)
+    codes = treekernel.binned(x, treekernel.bin_edges(x))
+    _, trees, losses = treekernel.boost(codes[:200], y[:200], (codes[200:], y[200:]), rng, rounds=1500, patience=75, rate=0.3, depth=3, least_weight=5, rows=0.8, columns=0.8, l2=1.0)
+    assert len(trees) == len(losses) == int(np.argmin(losses)) + 76 < 1500
+
+
+def test_fit_doesn_t_depend_on_layout_and_both_ways_learn(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(400, 3))
+    df = forests.assembled(spark.createDataFrame([(i, *map(float, v), float(np.exp(v[0] - v[1]))) for i, v in enumerate(x)], "id long, a double, b double, e double, y double"), ["a", "b", "e"], "y")
+    for kind in ("forest", "boosting"):
+        c1 = forests.Candidate("m", kind, 4, 5, "all", 0.3)
+        one, two = forests.fit(c1, df, trees=30), forests.fit(c1, df.repartition(5, "e"), trees=30)
+        assert forests._digest(one.trees) == forests._digest(two.trees)
+        forests.save_model(spark, one, str(tmp_path / kind), ["a", "b", "e"], note="x")
+        again, _ = forests.load_model(spark, str(tmp_path / kind), ["a", "b", "e"], note="x")
+        assert (again.predict(x) == one.predict(x)).all()
+        for bad in (dict(features=["b", "a", "e"]), dict(features=["a", "b", "e"], note="y")):
+            with pytest.raises(guards.GuardError):
+                forests.load_model(spark, str(tmp_path / kind), **bad)
+        with pytest.raises(FileExistsError):
+            forests.save_model(spark, one, str(tmp_path / kind), ["a", "b", "e"], force=False)
+        with monkeypatch.context() as m:
+            m.setattr(forests, "LOCAL_BYTES", 0)
+            far = forests.fit(c1, df, trees=30)
+            assert 1 <= forests.best_rounds(far, df) <= 30
+            plain = forests.tuned([c1], df, df, actual="y", trees=5)
+        near = forests.tuned([c1], df, df, actual="y", trees=5)
+        assert [set(r["metrics"]) for r in plain] == [set(r["metrics"]) for r in near]
+        for model in (one, far):
+            assert np.corrcoef(model.predict(x), x[:, 0] - x[:, 1])[0, 1] > 0.9
+            shap = forests.shap_values(model, df, ["a", "b", "e"], ["id"]).toPandas()
+            np.testing.assert_allclose(shap["base_value"] + shap[["shap__a", "shap__b", "shap__e"]].sum(axis=1), shap["prediction"], atol=1e-8)
+    with pytest.raises(guards.GuardError):
+        forests.fit(c1, forests.assembled(df.withColumn("a", F.lit(1e300)), ["a", "b", "e"], "y"), trees=2)
 
 
 def test_selection_and_resume(spark, tmp_path):
@@ -319,39 +396,40 @@ def test_common_panel_holds_five_models_over_all_dates(spark, tmp_path):
 
 
 def toy_models(spark, monkeypatch):
-    """The model queries over a toy matrix; each fit is recorded and made with two small trees."""
+    """The model queries over a toy matrix of 80 rows, with the whole grids, trees and rounds."""
     from tidepanel.plans import models
 
     x = np.random.default_rng(3).normal(size=(80, len(models.FEATURES)))
     rows = [(i, day(i), *map(float, v), float(np.exp(v[0])), i < 40, 40 <= i < 60, i < 60, i >= 60) for i, v in enumerate(x)]
     names = ["permno", "d", *models.FEATURES, "target_forward", "tuning_train", "validation", "final_refit", "test"]
     df = forests.assembled(spark.createDataFrame(rows, names).coalesce(1), models.FEATURES, "target_forward").cache()
-    fits, fit = [], forests.fit
-    small = {k: fit(forests.Candidate("m", k, 2, 2), df.filter("final_refit"), trees=2) for k in models.KINDS}
     monkeypatch.setattr(models, "_assembled", lambda spark, d: df)
-    monkeypatch.setattr(forests, "fit", lambda candidate, train, *, trees, seed=42: fits.append((candidate, trees, train.count())) or small[candidate.kind])
-    return models, fits, small
+    return models, df
 
 
 def test_model_queries_score_the_whole_grids(spark, monkeypatch):
-    models, fits, _ = toy_models(spark, monkeypatch)
+    models, df = toy_models(spark, monkeypatch)
     out = models.model_selection(spark, "").collect()
     assert {r["candidate"] for r in out} == {x.name for x in (*forests.forest_grid(), *forests.boosting_grid())}
-    assert sum(r["selected"] for r in out) == 2
-    assert {(x.name, n) for x, n, rows in fits if rows == 40 and n > 2} == {(x.name, 400) for x in forests.forest_grid()} | {(x.name, 1500) for x in forests.boosting_grid()}
-    best = {r["candidate"] for r in out if r["selected"]}
-    fits.clear()
-    assert models.rf_forecast(spark, "").count() == models.gbt_forecast(spark, "").count() == 20
-    assert {x.name for x, _, rows in fits if rows == 60} == best and len(fits) == 2
+    assert sum(r["selected"] for r in out) == 2 and all(r["qlike"] > 0 for r in out)
+    grids = {k: models._winner(df, k)[0] for k in models.KINDS}
+    assert {r["rounds"] for r in grids["forest"]} == {400} and max(r["rounds"] for r in grids["boosting"]) > 75
+    best = {k: forests.selected(r) for k, r in grids.items()}
+    assert {r["candidate"] for r in out if r["selected"]} == {b["name"] for b in best.values()}
+    fits, fit = [], forests.fit
+    with monkeypatch.context() as m:
+        m.setattr(models.files, "exists", lambda *a: False)  # as if no model were kept
+        m.setattr(models.forests, "tuned", lambda grid, *a, **k: grids[grid[0].kind])
+        m.setattr(models.forests, "fit", lambda candidate, train, *, trees, seed=42: fits.append((candidate.name, trees, train.count())) or fit(candidate, train, trees=trees, seed=seed))
+        assert models.rf_forecast(spark, "").count() == models.gbt_forecast(spark, "").count() == 20
+    assert fits == [(b["name"], b["rounds"], 60) for b in best.values()]
+    assert [tuple(r)[1:] for r in models.frozen_forecasts(spark, "").collect()] == [(20, 0), (20, 0)]
 
 
 def test_shap_explains_the_forecasting_models(spark, monkeypatch):
-    models, fits, _ = toy_models(spark, monkeypatch)
+    models, _ = toy_models(spark, monkeypatch)
     forecasts = {"forest": models.rf_forecast(spark, ""), "boosting": models.gbt_forecast(spark, "")}
-    refits = [(x, n) for x, n, rows in fits if rows == 60]
-    fits.clear()
     out = models.tree_shap(spark, "")
-    assert [(x, n) for x, n, rows in fits if rows == 60] == refits and len(refits) == 2
     for kind, df in forecasts.items():
         want = {r["permno"]: math.log(r["forecast"]) for r in df.collect()}
         assert {r["permno"]: r["prediction"] for r in out.filter(c("model") == kind).collect()} == pytest.approx(want)
