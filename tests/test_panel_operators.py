@@ -99,6 +99,42 @@ def test_ewma_equals_pandas(spark):
     np.testing.assert_allclose(out["ewma_by_rows"], want.where(np.arange(300) >= 20), rtol=1e-10)
 
 
+def test_ewma_of_a_long_history_equals_a_plain_fold(spark):
+    r = np.random.default_rng(2).normal(0, 0.02, 50_000)
+    r[::97] = np.nan
+    data = pd.DataFrame({"permno": 1, "d": [date(1900, 1, 1) + timedelta(days=i) for i in range(len(r))], "r": r})
+    df = spark.createDataFrame(data).withColumn("r", F.nanvl("r", F.lit(None)))
+    got = timeseries.ewma_volatility(df).orderBy("d").select("ewma_by_rows").toPandas()["ewma_by_rows"].to_numpy(float)
+    mean, age, want = None, 1.0, []
+    for x in r:
+        if np.isnan(x):
+            age = age * 0.94 if mean is not None else 1.0
+        else:
+            mean = x * x if mean is None else (age * 0.94 * mean + 0.06 * x * x) / (age * 0.94 + 0.06)
+            age = 1.0
+        want.append(np.nan if mean is None else math.sqrt(mean))
+    assert len(got) == len(want) and np.isnan(got[:20]).all()
+    np.testing.assert_allclose(got[20:], want[20:], rtol=1e-12)
+
+
+def test_an_extreme_reading_leaves_no_trace_in_later_frames(spark):
+    values = np.random.default_rng(3).normal(0, 0.002, 200)
+    clean = timeseries.return_features(series(spark, values)).orderBy("d").toPandas()
+    values[20] = 1000.0
+    dirty = timeseries.return_features(series(spark, values)).orderBy("d").toPandas()
+    for k in (5, 21, 63, 126):
+        np.testing.assert_allclose(dirty[f"return_std_{k}d"][21 + k :], clean[f"return_std_{k}d"][21 + k :], rtol=1e-12)
+
+
+def test_returns_below_a_total_loss(spark):
+    df = series(spark, [0.1, -1.5, 0.1, 0.1, 0.1, 0.1, 0.1])
+    got = column(timeseries.return_features(df, std=(), mean_abs=()), "compounded_return_5d")
+    assert got[:6] == [None] * 6 and got[6] == pytest.approx(1.1**5 - 1)
+    with pytest.raises(guards.GuardError):
+        timeseries.require_possible(df)
+    assert timeseries.require_possible(series(spark, [-1.0, None])).count() == 2
+
+
 def test_splits_and_masks(spark):
     rows = spark.createDataFrame([(date(2012, 1, 3), date(2012, 2, 3)), (date(2012, 12, 20), date(2013, 1, 20)), (date(2013, 1, 1), date(2013, 2, 1)), (date(2014, 12, 20), date(2015, 1, 20)), (date(2015, 1, 1), date(2015, 2, 1)), (date(2012, 5, 5), None)], "d date, target_end_date date")
     out = timeseries.sample_masks(timeseries.split_labels(rows), finite=c("target_end_date").isNotNull()).collect()

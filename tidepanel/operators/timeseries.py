@@ -12,11 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidepanel.operators.guards import bad_return, require
+
 #: Fixed values of the feature set.
 STD_ROWS, ABS_ROWS, COMPOUND_ROWS, LAGS = (5, 21, 63, 126, 252), (5, 21, 63), (5, 21, 63), (1, 5, 21)
 HORIZON, DECAY, BURN_IN = 21, 0.94, 21
-#: Rows up to which a sliding frame costs less than running sums.
-SLIDING = 32
+#: Rows that the fold of the recursion appends to at once.
+BLOCK = 256
 
 
 def by_entity(entity: str, day: str) -> WindowSpec:
@@ -34,7 +36,11 @@ def rolling_std(x: Column, rows: int, spec: WindowSpec) -> Column:
 
 
 def compounded(x: Column, rows: int, spec: WindowSpec) -> Column:
-    """Compounded return; -1 where a full frame of rows holds a total loss, even beside a missing return."""
+    """Compounded return; -1 where a full frame of rows holds a total loss, even beside a missing return.
+
+    A return below -1 can't be compounded: its frames are null unless they hold a
+    total loss. ``require_possible`` refuses a table with such returns.
+    """
     frame = spec.rowsBetween(1 - rows, 0)
     lost = F.sum(F.when(x == -1, 1).otherwise(0)).over(frame) > 0
     full = F.count(F.lit(1)).over(frame) == rows
@@ -42,60 +48,56 @@ def compounded(x: Column, rows: int, spec: WindowSpec) -> Column:
     return F.when(full & lost, F.lit(-1.0)).when(F.count(growth).over(frame) == rows, F.expm1(F.sum(growth).over(frame)))
 
 
+def require_possible(df: DataFrame, value: str = "r") -> DataFrame:
+    """``df``, refused if a return lies below -1."""
+    require(df, {"below_total_loss": bad_return(value)}, "returns")
+    return df
+
+
 def return_features(df: DataFrame, *, entity: str = "permno", day: str = "d", value: str = "r", std: Sequence[int] = STD_ROWS, mean_abs: Sequence[int] = ABS_ROWS, compound: Sequence[int] = COMPOUND_ROWS) -> DataFrame:
     """``df`` with trailing standard deviations, mean sizes and compounded returns.
 
-    A sliding frame is evaluated anew for each row, so standard deviations over
-    long frames come from differences of running sums instead.
+    All are sliding frames of one window over one sort. Each frame is evaluated
+    from its own rows, so that an extreme reading leaves no trace in later frames.
     """
     spec, x = by_entity(entity, day), F.col(value)
-    short, long = [k for k in std if k <= SLIDING], [k for k in std if k > SLIDING]
-    out = df.withColumns(
-        {f"return_std_{k}d": rolling_std(x, k, spec) for k in short} | {f"mean_abs_return_{k}d": rolling(F.abs(x), F.avg, k, spec) for k in mean_abs} | {f"compounded_return_{k}d": compounded(x, k, spec) for k in compound}
+    return df.withColumns(
+        {f"return_std_{k}d": rolling_std(x, k, spec) for k in std} | {f"mean_abs_return_{k}d": rolling(F.abs(x), F.avg, k, spec) for k in mean_abs} | {f"compounded_return_{k}d": compounded(x, k, spec) for k in compound}
     )
-    return long_std(out, x, long, spec) if long else out
-
-
-def long_std(df: DataFrame, x: Column, frames: Sequence[int], spec: WindowSpec) -> DataFrame:
-    """``df`` with trailing standard deviations from running counts, sums and sums of squares.
-
-    What cancels to less than 1e-12 of the mean square is a frame of equal values: 0.
-    """
-    upto = spec.rowsBetween(Window.unboundedPreceding, 0)
-    sums = {"_n": F.count(x).over(upto), "_s": F.coalesce(F.sum(x).over(upto), F.lit(0.0)), "_q": F.coalesce(F.sum(x * x).over(upto), F.lit(0.0))}
-    out = df.withColumns(sums)
-    lagged = out.withColumns({f"{c}{k}": F.col(c) - F.lag(c, k, 0).over(spec) for c in sums for k in frames})
-    stds = {}
-    for k in frames:
-        n, s, q = F.col(f"_n{k}"), F.col(f"_s{k}"), F.col(f"_q{k}")
-        rest = q - s * s / k
-        stds[f"return_std_{k}d"] = F.when(n == k, F.when(rest > 1e-12 * q, F.sqrt(rest / (k - 1))).otherwise(F.lit(0.0)))
-    return lagged.withColumns(stds).drop(*sums, *[f"{c}{k}" for c in sums for k in frames])
 
 
 def ewma_volatility(df: DataFrame, *, entity: str = "permno", day: str = "d", value: str = "r", decay: float = DECAY, burn_in: int = BURN_IN) -> DataFrame:
     """``df`` with exponentially weighted volatility of squared returns.
 
     The first value seeds the mean; a missing return ages it and carries it on.
-    As a linear recurrence it is computed with running products and sums:
-    s_n = A_n (x_1 + sum of b_k x_k / A_k), A_n the product of the a_k. Two columns
-    hide the burn-in, counted in rows and in returns. Fit for up to 10,000 returns
-    an entity (the product stays a normal double).
+    The recursion is one fold per entity over its rows in order (one per day, so
+    the calendar bounds them), for histories of any length; rows are appended by
+    blocks, so that its cost stays linear. Two columns hide the burn-in, counted in
+    rows and in returns. The rows of a null entity are one entity of their own.
     """
+    names = df.columns
+    grouped = df.groupBy(F.col(entity).alias("_entity")).agg(F.sort_array(F.collect_list(F.struct(F.col(day).alias("_day"), F.col(value).cast("double").alias("_x"), F.struct(*names).alias("_row")))).alias("_items"))
+    values = F.transform("_items", lambda i: i["_x"])
+    none, empty = F.lit(None).cast("double"), F.array().cast("array<double>")
+
+    def step(s: Column, x: Column) -> Column:
+        aged = s["age"] * decay
+        mean = F.when(x.isNull(), s["mean"]).when(s["mean"].isNull(), x * x).otherwise((aged * s["mean"] + (1 - decay) * x * x) / (aged + (1 - decay)))
+        age = F.when(x.isNull() & s["mean"].isNotNull(), aged).otherwise(F.lit(1.0))
+        return F.struct(F.array_append(s["out"], mean).alias("out"), mean.alias("mean"), age.alias("age"))
+
+    def block(s: Column, at: Column) -> Column:
+        start = F.struct(empty.alias("out"), s["mean"].alias("mean"), s["age"].alias("age"))
+        return F.aggregate(F.slice(F.col("_values"), at, F.lit(BLOCK)), start, step, lambda r: F.struct(F.concat(s["out"], r["out"]).alias("out"), r["mean"].alias("mean"), r["age"].alias("age")))
+
+    start = F.struct(empty.alias("out"), none.alias("mean"), F.lit(1.0).alias("age"))
+    folded = grouped.withColumn("_values", values).withColumn("_mean", F.aggregate(F.sequence(F.lit(1), F.size("_values"), F.lit(BLOCK)), start, block, lambda s: s["out"]))
+    flat = folded.select("_entity", F.explode(F.arrays_zip("_items", "_mean")).alias("_z")).select("_entity", F.col("_z._items._row").alias("_row"), F.sqrt("_z._mean").alias("_vol"))
+    # the entity itself comes from the key, whose partitioning the windows go on with
+    out = flat.select(*[F.col("_entity").alias(n) if n == entity else F.col("_row")[n].alias(n) for n in names], "_vol")
     spec = by_entity(entity, day)
-    upto = spec.rowsBetween(Window.unboundedPreceding, 0)
-    base = df.withColumn("_row", F.row_number().over(spec)).withColumn("_valid", F.count(value).over(upto))
-    last = F.last(F.when(F.col(value).isNotNull(), F.col("_row")), ignorenulls=True).over(spec.rowsBetween(Window.unboundedPreceding, -1))
-    aged = F.pow(F.lit(decay), (F.col("_row") - last).cast("double"))
-    has, first = F.col(value).isNotNull(), F.col("_valid") == 1
-    steps = base.withColumn("_aged", F.when(has, aged)).withColumns({
-        "_log_a": F.when(has & ~first, F.ln(F.col("_aged") / (F.col("_aged") + (1 - decay)))).otherwise(F.lit(0.0)),
-        "_b": F.when(has & first, F.lit(1.0)).when(has, (1 - decay) / (F.col("_aged") + (1 - decay))),
-    })
-    product = steps.withColumn("_prod", F.exp(F.sum("_log_a").over(upto)))
-    state = F.col("_prod") * F.sum(F.col("_b") * F.col(value) * F.col(value) / F.col("_prod")).over(upto)
-    out = product.withColumn("_vol", F.sqrt(state))
-    return out.withColumns({"ewma_by_rows": F.when(F.col("_row") >= burn_in, F.col("_vol")), "ewma_by_returns": F.when(F.col("_valid") >= burn_in, F.col("_vol"))}).drop("_row", "_valid", "_aged", "_log_a", "_b", "_prod", "_vol")
+    rows, valid = F.row_number().over(spec), F.count(value).over(spec.rowsBetween(Window.unboundedPreceding, 0))
+    return out.withColumns({"ewma_by_rows": F.when(rows >= burn_in, F.col("_vol")), "ewma_by_returns": F.when(valid >= burn_in, F.col("_vol"))}).drop("_vol")
 
 
 def forward_target(df: DataFrame, *, entity: str = "permno", day: str = "d", value: str = "volatility_21d", horizon: int = HORIZON) -> DataFrame:
@@ -105,7 +107,7 @@ def forward_target(df: DataFrame, *, entity: str = "permno", day: str = "d", val
 
 
 def log_changes(calendar: DataFrame, *, day: str, value: str, lags: Sequence[int] = LAGS) -> DataFrame:
-    """Lagged log differences over a calendar (one row per day, bounded by its length)."""
+    """Lagged log differences over a calendar (one row per day, bounded by its length); a level that isn't positive has none."""
     spec = Window.partitionBy(F.lit(1)).orderBy(day)
     return calendar.withColumns({f"log_change_{k}d": F.ln(value) - F.lag(F.ln(value), k).over(spec) for k in lags})
 

@@ -1,26 +1,25 @@
-"""Cleaned base tables of the queries, and the same in SQL."""
+"""Base tables of the queries, one row per key, and the same in SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepanel.functions.columns import finite
 from tidepanel.operators.timeseries import by_entity, rolling_std
 from tidepanel.sources.tables import table
 
 c = F.col
-#: Plausible bounds of a daily return and of the index in the cleaned panel.
-LOW, HIGH, INDEX_LOW, INDEX_HIGH = -0.5, 0.5, 5.0, 100.0
 MODELS = {"naive": "forecast_naive", "ewma": "forecast_ewma", "garch": "forecast_garch", "random_forest": "forecast_random_forest", "xgboost": "forecast_xgboost"}
 
 
 def panel(spark: SparkSession, d: str) -> DataFrame:
-    """(permno, d, r): one row per security and day, the latest delivery with a plausible return."""
-    r = F.when(c("dlyret").between(LOW, HIGH), c("dlyret"))
+    """(permno, d, r): one row per security and day, the latest delivery with a return that is a number; no reading is cut."""
+    r = F.when(finite(c("dlyret")), c("dlyret"))
     return table(spark, d, "daily_prices").filter("permno is not null and dlycaldt is not null").groupBy("permno", c("dlycaldt").alias("d")).agg(F.max_by(r, F.when(r.isNotNull(), c("row_id"))).alias("r"))
 
 
-PANEL = f"""panel as (select permno, dlycaldt d, arg_max(r, row_id) filter (where r is not null) r from (select *, case when dlyret between {LOW} and {HIGH} then dlyret end r from daily_prices)
+PANEL = """panel as (select permno, dlycaldt d, arg_max(r, row_id) filter (where r is not null) r from (select *, case when isfinite(dlyret) then dlyret end r from daily_prices)
   where permno is not null and dlycaldt is not null group by permno, dlycaldt)"""
 
 
@@ -35,12 +34,12 @@ VOL = PANEL + """, vols as (select *, case when count(r) over w = 21 then stddev
 
 
 def index_levels(spark: SparkSession, d: str) -> DataFrame:
-    """(d, v): one valid, plausible close per date, the latest delivery."""
-    ok = c("vix_close").between(INDEX_LOW, INDEX_HIGH) & c("withdrawn_at").isNull() & c("date").isNotNull()
+    """(d, v): one valid close per date, the latest delivery; no level is cut."""
+    ok = finite(c("vix_close")) & c("withdrawn_at").isNull() & c("date").isNotNull()
     return table(spark, d, "vix").filter(ok).groupBy(c("date").alias("d")).agg(F.max_by("vix_close", "vix_row_id").alias("v"))
 
 
-INDEX = f"""idx as (select date d, arg_max(vix_close, vix_row_id) v from vix where vix_close between {INDEX_LOW} and {INDEX_HIGH} and withdrawn_at is null and date is not null group by date)"""
+INDEX = """idx as (select date d, arg_max(vix_close, vix_row_id) v from vix where isfinite(vix_close) and withdrawn_at is null and date is not null group by date)"""
 
 
 def forecasts(spark: SparkSession, d: str) -> DataFrame:

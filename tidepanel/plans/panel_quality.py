@@ -149,7 +149,7 @@ with right_key as (select p.row_id, arg_max(l.gvkey, (l.recorded_on, strftime(l.
   on l.permno = p.permno and p.dlycaldt between l.linkdt and coalesce(l.linkenddt, date '9999-12-31') and l.recorded_on <= p.dlycaldt group by p.row_id),
  right_member as (select distinct p.row_id from daily_prices p join universe u on u.permno = p.permno and p.dlycaldt between u.universe_start and u.universe_end and u.recorded_on <= p.dlycaldt),
  a as (select p.row_id, p.gvkey, p.in_sp500_membership member, k.g gvkey_then, m.row_id is not null member_then
-  from daily_prices p left join right_key k using (row_id) left join right_member m using (row_id) where p.permno is not null and p.dlycaldt is not null)
+  from daily_prices p left join right_key k using (row_id) left join right_member m using (row_id))
 """
 
 SQL = {

@@ -67,7 +67,7 @@ def mean_abs_return(spark: SparkSession, d: str) -> DataFrame:
     return out.select("permno", "d", *_r(*[f"mean_abs_return_{k}d" for k in timeseries.ABS_ROWS]))
 
 
-@query(f"with {PANEL}, a as (select permno, d, ln(1 + r) x from panel) select permno, d, " + ", ".join(f"round(exp(case when count(x) over w{k} = {k} then sum(x) over w{k} end) - 1, 8) + 0.0 compounded_return_{k}d" for k in timeseries.COMPOUND_ROWS) + " from a window " + ", ".join(f"w{k} as (partition by permno order by d rows between {k - 1} preceding and current row)" for k in timeseries.COMPOUND_ROWS))
+@query(f"with {PANEL}, a as (select permno, d, r, case when r > -1 then ln(1 + r) end x from panel) select permno, d, " + ", ".join(f"round(case when count(*) over w{k} = {k} and bool_or(coalesce(r = -1, false)) over w{k} then -1 when count(x) over w{k} = {k} then exp(sum(x) over w{k}) - 1 end, 8) + 0.0 compounded_return_{k}d" for k in timeseries.COMPOUND_ROWS) + " from a window " + ", ".join(f"w{k} as (partition by permno order by d rows between {k - 1} preceding and current row)" for k in timeseries.COMPOUND_ROWS))
 def compounded_return(spark: SparkSession, d: str) -> DataFrame:
     """trailing compounded returns."""
     out = timeseries.return_features(panel(spark, d), std=(), mean_abs=())
@@ -98,7 +98,7 @@ def persistence_metrics_by_year(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.year("d").alias("year")).agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(e * e)), 8).alias("rmse"), F.round(F.avg(F.abs(e)), 8).alias("mae"), F.round(F.avg(qlike(c("target_forward"), c("vol"))), 8).alias("qlike"))
 
 
-@query(f"with {PANEL}, {INDEX}, cal as (select distinct panel.d, v from panel join idx using (d)) select d, v, " + ", ".join(f"round(ln(v) - ln(lag(v, {k}) over (order by d)), 8) + 0.0 log_change_{k}d" for k in timeseries.LAGS) + " from cal")
+@query(f"with {PANEL}, {INDEX}, cal as (select distinct panel.d, v, case when v > 0 then ln(v) end l from panel join idx using (d)) select d, v, " + ", ".join(f"round(l - lag(l, {k}) over (order by d), 8) + 0.0 log_change_{k}d" for k in timeseries.LAGS) + " from cal")
 def index_log_changes(spark: SparkSession, d: str) -> DataFrame:
     """Lagged log changes on the trading calendar of the panel."""
     calendar = temporal.on_calendar(panel(spark, d), index_levels(spark, d), day="d", series_day="d", value="v").filter("v is not null")
@@ -132,11 +132,11 @@ def good_links(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "link_history").filter(c("linktype").isin("LC", "LU") & c("linkprim").isin("P", "C")).select("gvkey", "permno", "linkdt", "linkenddt")
 
 
-@query("select row_id, permno, dlycaldt from daily_prices where dlycaldt between date '2010-01-01' and date '2014-12-31' and permno in (select permno from universe)")
+@query("select row_id, permno, dlycaldt from daily_prices where dlycaldt between date '2005-01-01' and date '2024-12-31' and permno in (select permno from universe)")
 def key_list_scan(spark: SparkSession, d: str) -> DataFrame:
     """A date range of the securities of the universe, by semi-join."""
     rows = table(spark, d, "daily_prices").select("row_id", "permno", "dlycaldt")
-    return key_scan(rows, table(spark, d, "universe"), "permno", day="dlycaldt", first="2010-01-01", last="2014-12-31")
+    return key_scan(rows, table(spark, d, "universe"), "permno", day="dlycaldt", first="2005-01-01", last="2024-12-31")
 
 
 @query("select distinct permno, ticker from earnings_dates where ticker is not null")
@@ -145,7 +145,8 @@ def distinct_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "earnings_dates").select("permno", "ticker").dropna(subset=["ticker"]).distinct()
 
 
-_FIRST, _LAST = "2008-01-01", "2016-12-31"
+#: The sample period.
+_FIRST, _LAST = "2005-01-01", "2024-12-31"
 
 
 @query(f"select permno, greatest(universe_start, date '{_FIRST}') universe_start, least(coalesce(universe_end, date '9999-12-31'), date '{_LAST}') universe_end from universe where universe_start <= date '{_LAST}' and coalesce(universe_end, date '9999-12-31') >= date '{_FIRST}'")
@@ -271,17 +272,22 @@ def regime_assign(spark: SparkSession, d: str) -> DataFrame:
     return index_levels(spark, d).select("d", "v", regime(c("v"), F.lit(low), F.lit(high)).alias("regime"))
 
 
-def _two_forecasts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = forecasts(spark, d)
-    a = rows.select("permno", "dlycaldt", "target_forward_21d", "forecast_naive", "forecast_ewma")
-    return a, rows.filter(c("dlycaldt") < F.lit("2020-01-01").cast("date")).select("permno", "dlycaldt", c("target_forward_21d").alias("target_again"), "forecast_garch")
+def _own_forecasts(spark: SparkSession, d: str) -> DataFrame:
+    """(permno, dlycaldt, target, persistence) computed from the prices, where both are there."""
+    rows = timeseries.forward_target(volatility(spark, d), value="vol")
+    return rows.select("permno", c("d").alias("dlycaldt"), c("target_forward").alias("target"), c("vol").alias("persistence")).dropna(subset=["target", "persistence"])
+
 
+_OWN = f"{VOL}, {FORECASTS}, own as (select permno, d dlycaldt, target, vol persistence from targets where target is not null and vol is not null)"
 
-@query(f"with {FORECASTS} select permno, dlycaldt, target_forward_21d, forecast_naive, forecast_ewma, forecast_garch from fc where dlycaldt < date '2020-01-01'")
+
+@query(f"with {_OWN} select permno, dlycaldt, round(target, 8) target, round(persistence, 8) persistence, forecast_garch, forecast_xgboost from own join fc using (permno, dlycaldt)")
 def forecast_common_panel(spark: SparkSession, d: str) -> DataFrame:
-    """Complete cases of three forecasts joined one to one, before 2020 only as in its SQL; ``forecast_common_panel_all`` has all."""
-    a, b = _two_forecasts(spark, d)
-    return panels.common_panel(a, {"b": b.drop("target_again")}, ["permno", "dlycaldt"], ["forecast_naive", "forecast_ewma", "forecast_garch"])
+    """Persistence computed from the prices joined one to one with two forecasts of the final panel, complete cases."""
+    rows = forecasts(spark, d)
+    sides = {m: rows.select("permno", "dlycaldt", m) for m in ("forecast_garch", "forecast_xgboost")}
+    out = panels.common_panel(_own_forecasts(spark, d), sides, ["permno", "dlycaldt"], ["persistence", *sides])
+    return out.select("permno", "dlycaldt", *_r("target", "persistence"), *sides)
 
 
 @query(f"with {FORECASTS} select permno, dlycaldt, target_forward_21d, {', '.join(MODELS.values())} from fc")
@@ -293,11 +299,12 @@ def forecast_common_panel_all(spark: SparkSession, d: str) -> DataFrame:
     return panels.common_panel(classical, {"forest": side("forecast_random_forest"), "boosting": side("forecast_xgboost")}, ["permno", "dlycaldt"], list(MODELS.values()))
 
 
-@query(f"with {FORECASTS} select count(*) filter (where dlycaldt < date '2020-01-01') \"both\", count(*) filter (where dlycaldt >= date '2020-01-01') left_only, 0::bigint right_only, count(*) filter (where dlycaldt < date '2020-01-01' and not abs(target_forward_21d - target_forward_21d * 1.0000001) <= 1e-8 + 1e-5 * target_forward_21d) different from fc")
+@query(f"""with {_OWN}, j as (select own.target a, fc.target_forward_21d b, own.permno is not null l, fc.permno is not null r from own full join fc on own.permno = fc.permno and own.dlycaldt = fc.dlycaldt)
+ select count(*) filter (where l and r) "both", count(*) filter (where not r) left_only, count(*) filter (where not l) right_only, count(*) filter (where l and r and not abs(a - b) <= 1e-8 + 1e-5 * abs(b)) different from j""")
 def key_mismatch_full_outer(spark: SparkSession, d: str) -> DataFrame:
-    """Keys of one side only, and values that differ beyond the tolerance."""
-    a, b = _two_forecasts(spark, d)
-    return panels.compare_populations(a, b.withColumn("target_forward_21d", c("target_again") * 1.0000001), ["permno", "dlycaldt"], "target_forward_21d")
+    """Targets computed from the prices beside those of the final panel: keys of one side only, and values that differ."""
+    own = _own_forecasts(spark, d).withColumnRenamed("target", "target_forward_21d")
+    return panels.compare_populations(own, forecasts(spark, d), ["permno", "dlycaldt"], "target_forward_21d")
 
 
 @query(f"with {FORECASTS}, {INDEX} select permno, dlycaldt, v from fc left join idx on d = dlycaldt")
@@ -306,10 +313,11 @@ def dimension_join(spark: SparkSession, d: str) -> DataFrame:
     return panels.many_to_one(forecasts(spark, d).select("permno", "dlycaldt"), index_levels(spark, d).withColumnRenamed("d", "dlycaldt"), ["dlycaldt"])
 
 
-@query(f"with {FORECASTS} select permno, dlycaldt, abs(forecast_naive - forecast_ewma) <= 1e-8 + 0.1 * abs(forecast_ewma) close_enough from fc")
+@query(f"with {_OWN} select permno, dlycaldt, abs(persistence - forecast_naive) <= 1e-10 + 1e-6 * abs(forecast_naive) close_enough from own join fc using (permno, dlycaldt)")
 def approximate_equality(spark: SparkSession, d: str) -> DataFrame:
-    """Two forecasts equal within a tolerance."""
-    return forecasts(spark, d).select("permno", "dlycaldt", close_to(c("forecast_naive"), c("forecast_ewma"), 0.1).alias("close_enough"))
+    """The persistence forecast computed again beside the stored one, within the tolerances of a frozen forecast."""
+    both = panels.one_to_one(_own_forecasts(spark, d), forecasts(spark, d), ["permno", "dlycaldt"])
+    return both.select("permno", "dlycaldt", close_to(c("persistence"), c("forecast_naive"), 1e-6, 1e-10).alias("close_enough"))
 
 
 # ---- evaluation
@@ -530,19 +538,20 @@ def table_hash(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- sampling and rankings
 
-_SAMPLE = 200
+#: Fixed value: rows of the stratified sample, all rows where there are fewer.
+_SAMPLE = 10_000
 
 
 def _strata(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = forecasts(spark, d).select("permno", "dlycaldt", F.year("dlycaldt").alias("year"), "regime")
     position = F.when(c("regime") == "low", 1).when(c("regime") == "middle", 2).otherwise(3)
     sizes = rows.groupBy("year", "regime").agg(F.count("*").alias("size")).withColumn("position", position)
-    return rows, ranking.largest_remainder(sizes, size="size", n=_SAMPLE, order=["year", "position"])
+    return rows, ranking.largest_remainder(sizes, size="size", n=F.least(F.lit(_SAMPLE), F.sum("size").over(Window.partitionBy(F.lit(1)))), order=["year", "position"])
 
 
 _ALLOCATED = f"""{FORECASTS}, st as (select year(dlycaldt)::int as year, regime, count(*) size, case regime when 'low' then 1 when 'middle' then 2 else 3 end pos from fc group by 1, 2),
- q as (select *, count(*) over () k, ({_SAMPLE} - count(*) over ()) * (size - 1.0::double) / (sum(size) over () - count(*) over ()) quota from st),
- a as (select *, floor(quota) f, row_number() over (order by case when size - 1 - floor(quota) > 0 then 0 else 1 end, quota - floor(quota) desc, year, pos) rk, {_SAMPLE} - k - sum(floor(quota)) over () lft from q),
+ q as (select *, count(*) over () k, (least({_SAMPLE}, sum(size) over ()) - count(*) over ()) * (size - 1.0::double) / (sum(size) over () - count(*) over ()) quota from st),
+ a as (select *, floor(quota) f, row_number() over (order by case when size - 1 - floor(quota) > 0 then 0 else 1 end, quota - floor(quota) desc, year, pos) rk, least({_SAMPLE}, sum(size) over ()) - k - sum(floor(quota)) over () lft from q),
  al as (select year, regime, size, (1 + f + case when rk <= lft and size - 1 - f > 0 then 1 else 0 end)::bigint allocation from a)"""
 
 
