@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidepanel.operators.asof import asof_attributes, attribute_intervals, versions
 from tidepanel.operators.references import orphan_counts, orphan_references, padded_key
 from tidepanel.operators.rolling import idle_days, trailing_totals
-from tidepanel.operators.spikes import LEVEL_RULE, RETURN_RULE, flag_spikes, kalman_levels
+from tidepanel.operators.spikes import LEVEL_RULE, RETURN_RULE, flag_spikes, kalman_levels, noise_variances, vanishing_variance
 
 c = F.col
 PRICES = "row_id long, permno long, dlycaldt date, dlyret double, dlydelflg string, source string, day int, value double, size double"
@@ -100,6 +100,43 @@ def test_filter_withholds_spikes():
     assert kalman_levels(y, RETURN_RULE)[0][-1] > 2.5
 
 
+def test_the_filter_decides(spark):
+    """Without the filter's flags no spike and no stuck reading comes out, and each threshold moves what does."""
+    from dataclasses import replace
+
+    rows = normal()
+    for i, x in ((50, 0.8), (60, -0.3), (70, 0.01)):
+        rows[i] = (i, 1, day(i), x, "N")
+    rows[71] = (71, 1, day(71), 0.01, "N")
+    df = spark.createDataFrame([(*r, "x", 1, 2.0, 3.0) for r in rows], PRICES)
+
+    def found(**changed):
+        rule = replace(RETURN_RULE, **changed)
+        out = flag_spikes(df, rule, source=c("permno"), time=c("dlycaldt"), value=c("dlyret"), order=c("row_id"), impossible=F.lit(False), exempt=F.lit(False))
+        return {r["order"] for r in out.collect()}
+
+    assert found() == {50, 60, 71}
+    assert found(threshold=float("inf")) == {71} and found(vanishing=float("nan")) == {50, 60}
+    assert found(threshold=4.0) == {50, 71}
+
+
+def test_variances_of_a_source_are_estimated():
+    rng = np.random.default_rng(4)
+    for observation, state in ((0.5, 0.01), (0.02, 0.05)):
+        level = np.cumsum(rng.normal(0, state**0.5, 4000))
+        y = level + rng.normal(0, observation**0.5, 4000)
+        y[::400] = 40.0  # spikes don't widen what is normal
+        got = noise_variances(y, RETURN_RULE)
+        assert got == pytest.approx((observation, state), rel=0.35)
+    assert noise_variances(np.array([1.0, np.nan]), RETURN_RULE) == (RETURN_RULE.observation_variance, RETURN_RULE.state_variance)
+
+
+def test_vanishing_variance_has_a_memory():
+    x = np.array([np.nan, 1.0, 0.0, 0.0, 1e-6, 0.5, 0.001, 0.0])
+    assert vanishing_variance(x, 1.0, RETURN_RULE).tolist() == [False, False, True, True, True, False, False, True]
+    assert vanishing_variance(np.full(3, 0.001), 1e-6, RETURN_RULE).tolist() == [False] * 3
+
+
 ROLL = "entity long, day date, value double, row_id long, n int, sum double"
 
 

@@ -1,11 +1,16 @@
 """Implausible readings: spikes, stuck values and impossible values per source.
 
-A Gaussian local-level state-space model is filtered over each source's
-readings, forwards and backwards in time. A reading is a candidate when its
-standardised innovation (against either pass) exceeds a threshold; such updates
-are withheld, so that a spike doesn't drag the level. A running innovation
-variance that vanishes marks stuck stretches. Candidates are then held against
-the exact rule (ratio to the median of the readings around them).
+A Gaussian local-level state-space model is filtered over the log sizes of each
+source's readings, forwards and backwards in time. Its observation and state
+variances are estimated from the source's own readings, so that an innovation is
+judged against what is normal for that source. A reading whose standardised
+innovation exceeds the threshold in either pass is flagged; its update is
+withheld, so that a spike doesn't drag the level. The same filter without
+observation noise forecasts the last reading; where its innovations vanish against
+their running variance, a source is flagged as stuck.
+
+Only what the filters flag is held against the exact rules: the ratio to the median
+of the readings around it, and equality with the reading before.
 
 Deliveries of one (source, time) are folded to one observation with map-side
 combine, so that the sequence of a source is bounded by its calendar even if one
@@ -31,38 +36,66 @@ class SpikeRule:
     """Parameters of the detection.
 
     ``two_sided``: level series (both multiples and fractions of the median are
-    spikes); otherwise the size of a signed series is judged. ``gain_noise`` is
-    the ratio of state to observation variance. ``candidate_ratio`` is the least
-    multiple of the filtered level that becomes a candidate; it lies well below
-    ``ratio``, so that the exact check decides, not the filter. ``market_ratio``
-    and ``market_share``: a time is common to the sources when more than this
-    share of at least ``market_least`` sources move by that multiple.
-    ``idle_share``: runs of zeros per reading from which idle days are normal.
+    spikes); otherwise the size of a signed series is judged. ``threshold`` is the
+    standardised innovation from which a reading is flagged; it lies below what a
+    reading at ``ratio`` times the usual gives, so that the exact rule has the last
+    word on what the filter flags. ``vanishing`` is the innovation, in running
+    standard deviations of the innovations, below which a reading is flagged as stuck.
+    ``observation_variance`` and ``state_variance`` are what a source of few
+    readings is taken to have. ``market_ratio`` and ``market_share``: a time is
+    common to the sources when more than this share of at least ``market_least``
+    sources move by that multiple. ``idle_share``: runs of zeros per reading from
+    which idle days are normal.
     """
 
     ratio: float
     half_window: int
     two_sided: bool
-    candidate_ratio: float
+    threshold: float
+    observation_variance: float
+    state_variance: float
+    vanishing: float = 1e-3
     market_ratio: float = 10.0
     market_share: float = 0.5
     market_least: int = 3
     idle_share: float = 0.08
-    gain_noise: float = 0.02
-    observation_sd: float = 1.1
 
 
-RETURN_RULE = SpikeRule(ratio=20.0, half_window=30, two_sided=False, candidate_ratio=4.0)
-LEVEL_RULE = SpikeRule(ratio=2.0, half_window=5, two_sided=True, candidate_ratio=1.25, gain_noise=0.3, observation_sd=0.08)
+RETURN_RULE = SpikeRule(ratio=20.0, half_window=30, two_sided=False, threshold=1.5, observation_variance=1.2, state_variance=0.02)
+LEVEL_RULE = SpikeRule(ratio=2.0, half_window=5, two_sided=True, threshold=2.5, observation_variance=0.001, state_variance=0.005)
+#: Readings that the prior variances count for, the lag at which the state's variance shows, its least share of the
+#: observation's, most standard deviations that a reading near zero pulls the level down, and memory of the running variance.
+PRIOR_READINGS, FAR_LAG, LEAST_STATE, LEAST_PULL, MEMORY = 20, 20, 0.01, 2.0, 0.9
 
 
-def kalman_levels(y: np.ndarray, rule: SpikeRule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def noise_variances(y: np.ndarray, rule: SpikeRule) -> tuple[float, float]:
+    """(observation, state) variance of a source's local-level model.
+
+    A change over k readings has the variance 2 observation + k state; both follow
+    from the changes over one and over FAR_LAG readings, whose variances are taken
+    from median deviations, which spikes don't move. Few readings lean on the rule.
+    """
+    z = y[np.isfinite(y)]
+    n = len(z)
+    if n < 4:
+        return rule.observation_variance, rule.state_variance
+    spread = lambda d: float((1.4826 * np.median(np.abs(d - np.median(d)))) ** 2)
+    k = max(2, min(FAR_LAG, n // 2))
+    near, far = spread(z[1:] - z[:-1]), spread(z[k:] - z[:-k])
+    state = max((far - near) / (k - 1), 0.0)
+    observation = max((near - state) / 2, 0.0)
+    own = n / (n + PRIOR_READINGS)
+    observation = own * observation + (1 - own) * rule.observation_variance
+    return observation, max(own * state + (1 - own) * rule.state_variance, LEAST_STATE * observation)
+
+
+def kalman_levels(y: np.ndarray, rule: SpikeRule, noise: tuple[float, float] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One-step forecast levels, forecast deviations and withheld flags of a local-level model.
 
     ``y`` is the log size of each reading, NaN where there is none: the state
-    then ages without an update. Innovations beyond the candidate bound are
-    withheld, unless five in a row agree, which is a change of level. The filter
-    starts at the median of the first readings.
+    then ages without an update. Updates whose standardised innovation is beyond
+    the threshold are withheld, unless more than ``half_window`` in a row agree,
+    which is a change of level. The filter starts at the median of the first readings.
     """
     n = len(y)
     levels, deviations, held = np.empty(n), np.empty(n), np.zeros(n, bool)
@@ -72,27 +105,26 @@ def kalman_levels(y: np.ndarray, rule: SpikeRule) -> tuple[np.ndarray, np.ndarra
         finite = y[np.isfinite(y)]
         head = finite if len(finite) else np.zeros(1)
     level = float(np.median(head))
-    noise = rule.observation_sd**2
-    drift = rule.gain_noise * noise
-    variance, bound = noise, math.log(rule.candidate_ratio)
+    observation, state = noise_variances(y, rule) if noise is None else noise
+    variance, squared = observation, rule.threshold**2
     run, side = 0, 0.0
     for i, value in enumerate(y.tolist()):
-        variance += drift
-        total = variance + noise
+        variance += state
+        total = variance + observation
         levels[i] = level
         deviations[i] = total
         if value != value:
             continue
         innovation = value - level
-        if innovation > bound or (rule.two_sided and innovation < -bound):
+        if innovation * innovation > squared * total and (rule.two_sided or innovation > 0):
             held[i] = True
             run = run + 1 if innovation * side > 0 else 1
             side = innovation
-            if run < 5:
+            if run <= rule.half_window:
                 continue
         else:
-            if not rule.two_sided and innovation < -2.5:
-                innovation = -2.5  # a return near zero says little of the scale
+            if not rule.two_sided and innovation < 0:
+                innovation = max(innovation, -LEAST_PULL * math.sqrt(total))  # a return near zero says little of the scale
             run = 0
         gain = variance / total
         level += gain * innovation
@@ -100,31 +132,18 @@ def kalman_levels(y: np.ndarray, rule: SpikeRule) -> tuple[np.ndarray, np.ndarra
     return levels, np.sqrt(deviations), held
 
 
-def vanishing_variance(innovations: np.ndarray, memory: float = 0.5) -> np.ndarray:
-    """Running innovation variance of the readings' changes, 0 while a source is stuck."""
-    out, state = np.empty(len(innovations)), math.inf
-    for i, x in enumerate(innovations.tolist()):
-        if x == 0.0:
-            state = 0.0
-        else:
-            state = x * x if not math.isfinite(state) or state == 0.0 else memory * state + (1 - memory) * x * x
-        out[i] = state
-    return out
-
-
-def outweighing(sizes: np.ndarray, low: np.ndarray, high: np.ndarray, rule: SpikeRule) -> np.ndarray:
-    """Whether half of the readings around each one lie a multiple of the rule away from it.
+def vanishing_variance(innovations: np.ndarray, usual: float, rule: SpikeRule) -> np.ndarray:
+    """Whether each innovation vanishes against the running variance of those before it.
 
-    True wherever the exact check can hold, also inside a long run to which the
-    filter has adapted; a small slack covers rounding.
+    The variance is an exponentially weighted one over some ten readings, starts
+    at ``usual``, and decays through a stuck stretch. NaN: no innovation.
     """
-    around = np.lib.stride_tricks.sliding_window_view(np.pad(sizes, rule.half_window, constant_values=np.nan), 2 * rule.half_window + 1)
-    known = (~np.isnan(around)).sum(axis=1)
-    multiple = min(rule.ratio, rule.market_ratio)
-    over = 2 * (around * multiple < (high + 1e-9 * np.abs(high))[:, None]).sum(axis=1) >= known
-    if rule.two_sided:
-        over |= 2 * (around > (multiple * low - 1e-9 * np.abs(low))[:, None]).sum(axis=1) >= known
-    return over & (known > 0)
+    out, state, bound = np.zeros(len(innovations), bool), usual, rule.vanishing**2
+    for i, x in enumerate((innovations * innovations).tolist()):
+        if x == x:
+            out[i] = x <= bound * state
+            state = min(MEMORY * state + (1 - MEMORY) * x, 1e300)
+    return out
 
 
 #: Columns that a source's filter reports for times with a finding.
@@ -156,27 +175,28 @@ def source_findings(source: int, day: np.ndarray, order: np.ndarray, first: np.n
         y = np.log(np.abs(first))
         y[~np.isfinite(y)] = np.nan
         top, bottom = np.log(np.abs(high)), np.log(np.abs(low))
-    forth, forth_sd, _ = kalman_levels(y, rule)
-    back, back_sd, _ = (x[::-1] for x in kalman_levels(y[::-1], rule))
+    noise = noise_variances(y, rule)
+    forth, forth_sd, _ = kalman_levels(y, rule, noise)
+    back, back_sd, _ = (x[::-1] for x in kalman_levels(y[::-1], rule, noise))
+    # every delivery of a day is an observation that the forecasts of both passes are held against
     above = np.maximum((top - forth) / forth_sd, (top - back) / back_sd)
-    limit = np.maximum(math.log(rule.candidate_ratio) / forth_sd, math.log(rule.candidate_ratio) / back_sd)
-    candidate = np.maximum(top - forth, top - back) > math.log(rule.candidate_ratio)
+    innovation, candidate = above, above > rule.threshold
     if rule.two_sided:
-        below = np.maximum(forth - bottom, back - bottom)
-        candidate |= ~(below < math.log(rule.candidate_ratio))
-        above = np.where(below * limit > above, -below / forth_sd, above)
-    change = np.diff(first, prepend=np.nan)
-    stuck = (vanishing_variance(np.where(np.isnan(change), np.inf, change)) == 0.0) & (np.arange(len(first)) > 0)
-    again = np.zeros(len(first), bool)
-    again[1:] = first[1:] == last[:-1]
-    stuck |= again
+        below = np.minimum((bottom - forth) / forth_sd, (bottom - back) / back_sd)
+        candidate |= ~(below >= -rule.threshold)
+        innovation = np.where(np.abs(below) > above, below, above)
+    # without observation noise the forecast is the last reading, of the previous day's first or last delivery
+    with np.errstate(invalid="ignore"):
+        change = np.minimum(np.abs(np.diff(first, prepend=np.nan)), np.abs(first - np.concatenate([[np.nan], last[:-1]])))
+    steps = change[np.isfinite(change)]
+    stuck = vanishing_variance(change, float(np.median(steps)) ** 2 if len(steps) else 0.0, rule)
+    stuck[1:] &= (first[1:] == first[:-1]) | (first[1:] == last[:-1])  # the exact rule
     zero = first == 0.0
     runs = int(np.sum(zero & ~np.concatenate([[False], zero[:-1]])))
     if not rule.two_sided and runs >= 3 and runs > rule.idle_share * len(first):
         stuck &= ~zero
     sizes = np.abs(first)
     sizes[~np.isfinite(sizes) | ((sizes == 0) & (not rule.two_sided))] = np.nan
-    candidate |= outweighing(sizes, low, high, rule)
     centre, move = np.full(len(first), np.nan), np.full(len(first), np.nan)
     for i in np.flatnonzero(candidate):
         part = sizes[max(0, i - rule.half_window) : i + rule.half_window + 1]
@@ -187,7 +207,7 @@ def source_findings(source: int, day: np.ndarray, order: np.ndarray, first: np.n
     keep = np.flatnonzero(stuck | candidate)
     return {
         "source": np.full(len(keep), source), "day": day[keep], "head": order[keep], "centre": centre[keep], "move": move[keep],
-        "innovation": above[keep], "stuck_first": stuck[keep], "excused": excused[keep],
+        "innovation": innovation[keep], "stuck_first": stuck[keep], "excused": excused[keep],
     }
 
 
@@ -235,9 +255,9 @@ def flag_spikes(readings: DataFrame, rule: SpikeRule, *, source: Column, time: C
     found = staged(spike_findings(folded, rule))
     # days on which most sources move alike; the calendar bounds their number
     moved = found.filter(F.col("move") >= rule.market_ratio).groupBy("day").agg(F.count("*").alias("moved")).filter(F.col("moved") >= rule.market_least)
-    totals = rows.select("source", "day").join(F.broadcast(moved), "day").groupBy("day").agg(F.countDistinct("source").alias("sources"), F.max("moved").alias("moved"))
+    totals = rows.select("source", "day").join(sized(moved), "day").groupBy("day").agg(F.countDistinct("source").alias("sources"), F.max("moved").alias("moved"))
     common = totals.filter(F.col("moved") > rule.market_share * F.col("sources")).select("day", F.lit(True).alias("common"))
-    found = found.join(F.broadcast(common), "day", "left")
+    found = found.join(sized(common), "day", "left")
     found = found.withColumn("centre", F.nanvl("centre", F.lit(None)))  # NaN would exceed every reading
     judged = rows.join(sized(found), ["source", "day"], "left")
     at = F.col("value") if rule.two_sided else F.abs("value")
