@@ -270,3 +270,50 @@ def test_queries_are_registered():
     import __spark_entry__ as entry
 
     assert {"p3_sample", "p6_found", "p7_ids", "p8_mix", "p9_found"} <= set(entry.queries())
+
+
+def test_packed_rows_round_trip_in_slices():
+    from tidepanel.llm.subjects import _packed, _unpacked
+
+    rows = [[1, 2, 3], [], [4], [5, 6], []]
+    packed = _packed(np.concatenate([np.array(r, np.int32) for r in rows]), np.cumsum([len(r) for r in rows]))
+    for a, b in ((0, 5), (1, 2), (2, 3), (4, 1), (5, 0)):
+        values, sizes = _unpacked(packed.slice(a, b))
+        assert values.tolist() == sum(rows[a : a + b], []) and sizes.tolist() == [len(r) for r in rows[a : a + b]]
+
+
+def test_class_counts_equal_a_plain_loop():
+    from tidepanel.llm.subjects import class_counts
+
+    rng = np.random.default_rng(1)
+    lengths = np.array([3, 1, 4])
+    features, weight = rng.integers(0, 5, 8), np.array([[0.5, 0.5, 0.0], [0.0, 1.0, 0.0], [0.2, 0.0, 0.8]])
+    want = np.zeros((5, 3))
+    for f, s in zip(features, np.repeat(np.arange(3), lengths)):
+        want[f] += weight[s]
+    cell, w = class_counts(lengths, features, weight)
+    np.testing.assert_allclose(np.bincount(cell, w, 15).reshape(5, 3), want)
+
+
+def test_a_document_is_scored_without_its_own_counts(spark):
+    from tidepanel.llm import subjects as S
+
+    docs, truth = corpus(40)
+    names = sorted(WORDS)
+    df = spark.createDataFrame([(i, t, sum(1 << names.index(s) for s in truth[i])) for i, t in docs], "i long, t string, m long")
+    parsed = S.parse_documents(df, key=c("i"), text=c("t"), mask=c("m")).cache()
+    counts, weights = S.train(parsed, parsed, len(names))
+    got = {r["key"]: r["shares"] for r in S.held_out_shares(parsed, counts, weights, len(names)).collect()}
+    batch = {r["key"]: r for r in parsed.collect()}
+    for i in (0, 7):
+        lengths, features = (np.frombuffer(bytes(batch[i][x]), np.int32) for x in ("lengths", "features"))
+        own = S.sentence_posteriors(weights, S._prior(np.array([batch[i]["mask"]]), np.zeros(len(lengths), int), len(names)), lengths, features)
+        less = counts.copy()
+        np.subtract.at(less, features, np.repeat(np.where(own > S.NOTHING, own, 0), lengths, axis=0))
+        found = S.sentence_posteriors(S.complement_weights(np.maximum(less, 0)).astype(float), np.zeros((1, len(names) + 1)), lengths, features)
+        np.testing.assert_allclose(got[i], found.mean(axis=0)[:-1], atol=1e-4)
+
+
+def test_markup_of_any_length_is_dropped():
+    assert sentence_features("<p class='" + "x " * 90 + "'>One two.</p>", {})[0] == [3]
+    assert sentence_features("one < two words > three", {})[0] == [len({"one", "two", "words", "three"}) + 3]

@@ -3,10 +3,11 @@
 Sentences are the units: each is a bag of hashed words and word pairs. A
 complement naive Bayes model is trained on the sentences of labelled documents,
 with a further class for sentences without subject (clerical remarks, headings,
-figures of speech). Expectation-maximization over all documents refines it:
-sentences of unlabelled documents count by their posteriors. A document's share of
-sentences per subject is turned into a posterior by one logistic curve per
-subject, fitted to the labelled documents; subjects are independent of each other.
+figures of speech). Expectation-maximization over all documents refines it until
+its counts settle: sentences of unlabelled documents count by their posteriors. A
+document's share of sentences per subject is turned into a posterior by one
+logistic curve per subject, fitted to the labelled documents, each of them scored
+by the model without its own counts; subjects are independent of each other.
 
 Counts are summed per partition and merged by feature, so that what meets at the
 driver, and what is broadcast, is the fixed table of FEATURES x (subjects + 1).
@@ -19,7 +20,7 @@ import re
 import unicodedata
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,10 @@ from tidepanel.session import shared_folder, sized
 FEATURES = 1 << 17
 #: Most labelled documents used in training (smallest hashes first); all documents enter the EM.
 LABELLED_BOUND = 100_000
-#: Weight of an unlabelled sentence in the EM, smoothing, passes, and log prior of a subject that a labelled document lacks.
-UNLABELLED, ALPHA, PASSES, ABSENT = 0.5, 0.1, 3, -4.0
+#: Weight of an unlabelled sentence in the EM, smoothing, and log prior of a subject that a labelled document lacks.
+UNLABELLED, ALPHA, ABSENT = 0.5, 0.1, -4.0
+#: The EM ends when a pass moves less than SETTLED of the counts, or after PASSES; posteriors below NOTHING count as 0.
+SETTLED, PASSES, NOTHING = 0.005, 8, 1e-9
 #: A feature is specific if the subjects it occurs in diverge from the usual mix by more than DIVERGENCE of what
 #: a feature of its main subject alone would; a sentence with a lower share of specific features than SPECIFIC seeds the class without subject.
 DIVERGENCE, SPECIFIC = 0.2, 0.34
@@ -43,41 +46,72 @@ SLOPE, HALF = 40.0, 0.18
 #: Repeated phrases give repeated runs of hashes, which a dictionary's bit packing would hide from the compression.
 PACKED = {"compression": "zstd", "parquet.enable.dictionary": "false"}
 
-_TAG = re.compile(r"<[^<>]{1,80}>")
-_CUT = re.compile(r"(?<=[.!?;])\s+|[\n\r]+|\s--\s")
-_WORD = re.compile(r"[^\W\d_]{2,}")
+#: Markup; a "<" that isn't followed by a name is none, and no markup reaches past the next angle bracket.
+_TAG = re.compile(r"</?[A-Za-z!?|][^<>]*>")
+#: Words, and the breaks between sentences, which hold no word.
+_TOKEN = re.compile(r"[^\W\d_]{2,}|(?<=[.!?;])\s+|[\n\r]+|\s--\s")
 
 
-def sentence_features(text: str | None, words: dict[str, int]) -> tuple[list[int], np.ndarray]:
-    """Feature counts per sentence, and all features one after another.
+def text_features(texts: Sequence[str | None], words: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document of each sentence, features of each sentence, all features one after another).
 
     Markup, digits, case and punctuation are dropped; sentences without words are
-    left out, so a null, empty or numeric text has none. ``words`` remembers hashes.
+    left out, so a null, empty or numeric text has none. A sentence's features are
+    distinct and in order. ``words`` remembers hashes; a break has none (-1).
     """
-    plain = unicodedata.normalize("NFKC", html.unescape(_TAG.sub("\n", text or ""))).lower()
-    lengths, parts = [], []
-    for sentence in _CUT.split(plain):
-        found = _WORD.findall(sentence)
-        if not found:
-            continue
-        codes = []
-        for w in found:
-            code = words.get(w)
-            if code is None:
-                if len(words) > 500_000:
-                    words.clear()
-                code = words[w] = zlib.crc32(w.encode("utf-8"))
-            codes.append(code)
-        one = np.array(codes, np.uint64)
-        two = (one[:-1] * np.uint64(1_000_003) + one[1:] * np.uint64(40_503)) % np.uint64(4_294_967_291)
-        features = np.unique(np.concatenate([one, two]) % np.uint64(FEATURES)).astype(np.int32)
-        lengths.append(len(features))
-        parts.append(features)
-    return lengths, np.concatenate(parts) if parts else np.empty(0, np.int32)
+    tokens: list[str] = []
+    ends = []
+    for text in texts:
+        tokens += _TOKEN.findall(unicodedata.normalize("NFKC", html.unescape(_TAG.sub("\n", text or ""))).lower())
+        ends.append(len(tokens))
+    if len(words) > 500_000:
+        words.clear()
+    for w in {w for w in tokens if w not in words}:
+        words[w] = zlib.crc32(w.encode("utf-8")) if not w[0].isspace() else -1
+    codes = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
+    doc = np.repeat(np.arange(len(ends)), np.diff([0, *ends]))
+    fresh = codes < 0
+    fresh[1:] |= doc[1:] != doc[:-1]
+    sentence = np.cumsum(fresh)
+    is_word = codes >= 0
+    codes, doc, sentence = codes[is_word].astype(np.uint64), doc[is_word], sentence[is_word]
+    if not len(codes):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+    starts = np.concatenate([[True], sentence[1:] != sentence[:-1]])
+    sentence = np.cumsum(starts) - 1
+    together = ~starts[1:]
+    two = ((codes[:-1] * np.uint64(1_000_003) + codes[1:] * np.uint64(40_503)) % np.uint64(4_294_967_291))[together]
+    feature = (np.concatenate([codes, two]) % np.uint64(FEATURES)).astype(np.int64)
+    key = np.unique(np.concatenate([sentence, sentence[1:][together]]) * FEATURES + feature)
+    return doc[starts], np.bincount(key // FEATURES), (key % FEATURES).astype(np.int32)
+
+
+def sentence_features(text: str | None, words: dict[str, int]) -> tuple[list[int], np.ndarray]:
+    """Feature counts per sentence of one text, and its features one after another."""
+    _, lengths, features = text_features([text], words)
+    return lengths.tolist(), features
+
+
+def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary array whose row i holds the int32 values up to ``ends[i]``."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32) * 4
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values, np.int32))])
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a packed array, and how many each row has."""
+    column = column.cast(pa.binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    values = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(np.int32) if data is not None and offsets[-1] > offsets[0] else np.empty(0, np.int32)
+    return values, np.diff(offsets) // 4
 
 
 def parse_documents(documents: DataFrame, *, key: Column, text: Column, mask: Column) -> DataFrame:
-    """(key, mask, lengths, features) of every document."""
+    """(key, mask, lengths, features) of every document; the last two are packed int32 values.
+
+    They are binary so that they pass between the table and numpy as blocks.
+    """
     rows = documents.select(key.cast("long").alias("key"), F.coalesce(mask, F.lit(0)).cast("long").alias("mask"), text.cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,18 +119,18 @@ def parse_documents(documents: DataFrame, *, key: Column, text: Column, mask: Co
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                parsed = [sentence_features(x, words) for x in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x[0] for x in parsed], pa.list_(pa.int32())), pa.array([x[1] for x in parsed], pa.list_(pa.int32()))], names=["key", "mask", "lengths", "features"])
+                doc, lengths, features = text_features(part.column(2).to_pylist(), words)
+                upto = np.cumsum(np.bincount(doc, minlength=part.num_rows))
+                sums = np.concatenate([[0], np.cumsum(lengths)])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _packed(lengths, upto), _packed(features, sums[upto])], names=["key", "mask", "lengths", "features"])
 
-    return rows.mapInArrow(run, "key long, mask long, lengths array<int>, features array<int>")
+    return rows.mapInArrow(run, "key long, mask long, lengths binary, features binary")
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Masks per document, document of each sentence, sentence lengths, and features."""
-    masks = batch.column("mask").to_numpy(zero_copy_only=False)
-    lengths, features = batch.column("lengths"), batch.column("features")
-    each = np.diff(lengths.offsets.to_numpy())
-    return masks, np.repeat(np.arange(batch.num_rows), each), lengths.flatten().to_numpy(), features.flatten().to_numpy()
+    lengths, each = _unpacked(batch.column("lengths"))
+    return batch.column("mask").to_numpy(zero_copy_only=False), np.repeat(np.arange(batch.num_rows), each), lengths, _unpacked(batch.column("features"))[0]
 
 
 def sentence_posteriors(weights: np.ndarray, prior: np.ndarray, lengths: np.ndarray, features: np.ndarray) -> np.ndarray:
@@ -121,25 +155,36 @@ def complement_weights(counts: np.ndarray) -> np.ndarray:
     return -np.log((rest + ALPHA) / (rest.sum(axis=0, keepdims=True) + ALPHA * FEATURES)).astype(np.float32)
 
 
+def class_counts(lengths: np.ndarray, features: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(feature * classes + class of each, weight of each) where sentences have the class weights ``weight``.
+
+    Only what isn't next to 0 is spread over a sentence's features: a sentence has few likely classes.
+    """
+    sentence, k = np.nonzero(weight > NOTHING)
+    size = lengths[sentence]
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])[sentence]
+    at = np.arange(size.sum()) + np.repeat(starts - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+    return features[at].astype(np.int64) * weight.shape[1] + np.repeat(k, size), np.repeat(weight[sentence, k], size)
+
+
 def _counted(parsed: DataFrame, subjects: int, assign) -> np.ndarray:
     """Class counts per feature, where ``assign(masks, doc, lengths, features)`` gives each sentence's class weights."""
     classes = subjects + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((FEATURES, classes))
+        total = np.zeros(FEATURES * classes)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 masks, doc, lengths, features = _flat(batch.slice(at, 1000))
-                if not len(lengths):
-                    continue
-                weight = np.repeat(assign(masks, doc, lengths, features), lengths, axis=0)
-                for k in range(classes):
-                    total[:, k] += np.bincount(features, weight[:, k], FEATURES)
-        there = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), *(pa.array(total[there, k]) for k in range(classes))], names=["feature", *(f"c{k}" for k in range(classes))])
+                if len(lengths):
+                    cell, weight = class_counts(lengths, features, assign(masks, doc, lengths, features))
+                    total += np.bincount(cell, weight, len(total))
+        table = total.reshape(FEATURES, classes)
+        there = np.flatnonzero(table.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), *(pa.array(table[there, k]) for k in range(classes))], names=["feature", *(f"c{k}" for k in range(classes))])
 
     columns = [f"c{k}" for k in range(classes)]
-    summed = parsed.mapInArrow(run, "feature int, " + ", ".join(f"{c} double" for c in columns)).groupBy("feature").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
+    summed = parsed.select("mask", "lengths", "features").mapInArrow(run, "feature int, " + ", ".join(f"{c} double" for c in columns)).groupBy("feature").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
     out = np.zeros((FEATURES, classes))
     at = summed.column("feature").to_numpy()
     for k, c in enumerate(columns):
@@ -158,8 +203,8 @@ def _prior(masks: np.ndarray, doc: np.ndarray, subjects: int) -> np.ndarray:
     return np.concatenate([np.where(lacks, ABSENT, 0.0), np.zeros((len(masks), 1))], axis=1)[doc]
 
 
-def train(parsed: DataFrame, labelled: DataFrame, subjects: int) -> np.ndarray:
-    """Weights of the refined model; without labels all are flat."""
+def train(parsed: DataFrame, labelled: DataFrame, subjects: int) -> tuple[np.ndarray, np.ndarray]:
+    """(class counts of the refined model, weights by which they were counted); without labels all are flat."""
     counts = _counted(labelled, subjects, lambda m, d, n, f: _even(m, d, subjects))[:, :subjects]
     share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-12)
     usual = counts.sum(axis=0) / max(counts.sum(), 1e-12)
@@ -176,18 +221,38 @@ def train(parsed: DataFrame, labelled: DataFrame, subjects: int) -> np.ndarray:
         out[vague, subjects] = 1.0
         return out
 
-    weights = complement_weights(_counted(labelled, subjects, seeded))
-    for _ in range(PASSES):
+    counts = _counted(labelled, subjects, seeded)
+    held.unpersist()
+    for n in range(PASSES):
+        before, weights = counts, complement_weights(counts)
         sent = context.broadcast(weights)
 
         def refined(masks: np.ndarray, doc: np.ndarray, lengths: np.ndarray, features: np.ndarray, sent=sent) -> np.ndarray:
-            out = sentence_posteriors(sent.value, _prior(masks, doc, subjects), lengths, features)
-            return out * np.where(masks > 0, 1.0, UNLABELLED)[doc][:, None]
+            return _labelled_posteriors(sent.value, masks, doc, lengths, features, subjects) * np.where(masks > 0, 1.0, UNLABELLED)[doc][:, None]
 
-        weights = complement_weights(_counted(parsed, subjects, refined))
+        counts = _counted(parsed, subjects, refined)
         sent.unpersist()
-    held.unpersist()
-    return weights
+        # the first pass brings the unlabelled documents in, so only later ones can show that the counts have settled
+        if n and np.abs(counts - before).sum() <= SETTLED * max(counts.sum(), 1e-12):
+            break
+    return counts, weights
+
+
+def _labelled_posteriors(weights: np.ndarray, masks: np.ndarray, doc: np.ndarray, lengths: np.ndarray, features: np.ndarray, subjects: int) -> np.ndarray:
+    return sentence_posteriors(weights, _prior(masks, doc, subjects), lengths, features)
+
+
+def _shares(found: np.ndarray, doc: np.ndarray, documents: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents that have sentences, and the share of their sentences per subject."""
+    n = np.bincount(doc, minlength=documents)
+    keep = np.flatnonzero(n)
+    sums = np.stack([np.bincount(doc, found[:, k], documents) for k in range(found.shape[1] - 1)], axis=1)
+    return keep, sums[keep] / n[keep, None]
+
+
+def _share_batch(part: pa.RecordBatch, keep: np.ndarray, shares: np.ndarray) -> pa.RecordBatch:
+    lists = pa.ListArray.from_arrays(np.arange(len(keep) + 1, dtype=np.int32) * shares.shape[1], pa.array(shares.ravel()))
+    return pa.RecordBatch.from_arrays([part.column("key").take(pa.array(keep)), part.column("mask").take(pa.array(keep)), lists], names=["key", "mask", "shares"])
 
 
 def subject_shares(parsed: DataFrame, weights: np.ndarray) -> DataFrame:
@@ -199,18 +264,44 @@ def subject_shares(parsed: DataFrame, weights: np.ndarray) -> DataFrame:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 masks, doc, lengths, features = _flat(part)
-                found = sentence_posteriors(sent.value, np.zeros((1, weights_shape)), lengths, features)
-                sums = np.zeros((len(masks), weights_shape))
-                np.add.at(sums, doc, found)
-                n = np.bincount(doc, minlength=len(masks))
-                keep = np.flatnonzero(n)
-                shares = sums[keep, :-1] / n[keep, None]
-                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(keep)), part.column("mask").take(pa.array(keep)), pa.array(list(shares), pa.list_(pa.float64()))], names=["key", "mask", "shares"])
-
-    weights_shape = weights.shape[1]
+                found = sentence_posteriors(sent.value, np.zeros((1, sent.value.shape[1])), lengths, features)
+                yield _share_batch(part, *_shares(found, doc, len(masks)))
+
     return parsed.select("key", "mask", "lengths", "features").mapInArrow(run, "key long, mask long, shares array<double>")
 
 
+def held_out_shares(labelled: DataFrame, counts: np.ndarray, weights: np.ndarray, subjects: int) -> DataFrame:
+    """(key, mask, shares) of labelled documents, each scored by the model without that document's own counts.
+
+    ``weights`` are those by which the last pass counted the document, ``counts`` its result.
+    """
+    sent = labelled.sparkSession.sparkContext.broadcast((counts, weights))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, weights = sent.value
+        classes, totals = counts.shape[1], counts.sum(axis=0)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                masks, doc, lengths, features = _flat(part)
+                own = _labelled_posteriors(weights, masks, doc, lengths, features, subjects)
+                # one row per (document, feature): the document's own counts there
+                of = np.repeat(doc, lengths).astype(np.int64) * FEATURES + features
+                pairs, row = np.unique(of, return_inverse=True)
+                cell, weight = class_counts(lengths, np.arange(len(features)), own)
+                there = row[cell // classes] * classes + cell % classes
+                mine = np.bincount(there, weight, len(pairs) * classes).reshape(-1, classes)
+                spent = np.stack([np.bincount(pairs // FEATURES, mine[:, k], len(masks)) for k in range(classes)], axis=1) if len(pairs) else np.zeros((len(masks), classes))
+                left = np.maximum(counts[pairs % FEATURES] - mine, 0.0)
+                rest = left.sum(axis=1, keepdims=True) - left
+                total = np.maximum(totals - spent, 0.0)[pairs // FEATURES]
+                without = -np.log((rest + ALPHA) / (total.sum(axis=1, keepdims=True) - total + ALPHA * FEATURES))
+                found = sentence_posteriors(without, np.zeros((1, classes)), lengths, row)
+                yield _share_batch(part, *_shares(found, doc, len(masks)))
+
+    return labelled.select("key", "mask", "lengths", "features").mapInArrow(run, "key long, mask long, shares array<double>")
+
+
 def calibrate(shares: np.ndarray, bits: np.ndarray) -> list[tuple[float, float]]:
     """(slope, share at one half) of each subject's logistic curve, by maximum a posteriori."""
     out = []
@@ -238,7 +329,9 @@ def assign_subjects(documents: DataFrame, labels: DataFrame, names: list[str], *
     or without words get no rows. Texts are read whole; every document enters the
     counts, however often it repeats. Empty tables give no rows.
     """
-    names = sorted(names)
+    names = sorted(set(names))
+    if len(names) > 62:
+        raise ValueError("at most 62 subjects fit into the label mask")
     codes = F.create_map(*[x for k, n in enumerate(names) for x in (F.lit(n), F.lit(1 << k))])
     marked = labels.filter(F.col(key).isNotNull() & F.col("subject").isin(names)).select(F.col(key).alias("_key"), "subject").distinct().groupBy("_key").agg(F.sum(codes[F.col("subject")]).cast("long").alias("_mask"))
     # a bounded sample of the labelled documents, by hash
@@ -246,14 +339,15 @@ def assign_subjects(documents: DataFrame, labels: DataFrame, names: list[str], *
     joined = documents.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(sized(marked), F.col("_id") == F.col("_key"), "left")
     spark = documents.sparkSession
     folder = f"{shared_folder(spark)}/subjects-{uuid.uuid4().hex}"
-    parse_documents(joined, key=F.col("_id"), text=F.col("_text"), mask=F.col("_mask")).write.options(**PACKED).parquet(f"{folder}/parsed")
-    parsed = spark.read.parquet(f"{folder}/parsed")
-    parsed.filter("mask > 0").write.options(**PACKED).parquet(f"{folder}/labelled")
-    labelled = spark.read.parquet(f"{folder}/labelled")
-    weights = train(parsed, labelled, len(names))
-    known = subject_shares(labelled, weights).toArrow()
+    # labelled documents in a folder of their own, so that a pass over them reads nothing else
+    parse_documents(joined, key=F.col("_id"), text=F.col("_text"), mask=F.col("_mask")).withColumn("labelled", F.col("mask") > 0).write.options(**PACKED).partitionBy("labelled").parquet(f"{folder}/parsed")
+    parsed = spark.read.schema("key long, mask long, lengths binary, features binary, labelled boolean").parquet(f"{folder}/parsed")
+    labelled = parsed.filter("labelled")
+    counts, weights = train(parsed, labelled, len(names))
+    known = held_out_shares(labelled, counts, weights, len(names)).toArrow()
     shares = np.array(known.column("shares").to_pylist(), float).reshape(-1, len(names))
     curves = calibrate(shares, label_bits(known.column("mask").to_numpy(), len(names)))
+    weights = complement_weights(counts)
     curve = F.array(*[F.struct(F.lit(n).alias("subject"), F.lit(a).alias("slope"), F.lit(b).alias("half")) for n, (a, b) in zip(names, curves, strict=True)])
     each = subject_shares(parsed, weights).select("key", F.explode(F.arrays_zip(curve.alias("curve"), F.col("shares"))).alias("x"))
     posterior = 1 / (1 + F.exp(-F.col("x.curve.slope") * (F.col("x.shares") - F.col("x.curve.half"))))
