@@ -7,8 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a measured side of a join may be broadcast.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a measured side of a join may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -59,11 +59,14 @@ def staged(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` staged, and marked for broadcast only if it has at most ``limit`` rows.
+def sized(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` staged, and marked for broadcast only if it has at most ``limit`` rows and ``most`` bytes.
 
-    Beyond the limit it stays unmarked, so that the join is planned as a
-    shuffle join, whose hot partitions adaptive execution splits.
+    The bytes are those of the values as text, and 8 for each. Beyond a limit it
+    stays unmarked, so that the join is planned as a shuffle join, whose hot
+    partitions adaptive execution splits.
     """
     small = staged(df)
-    return F.broadcast(small) if small.count() <= limit else small
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in small.columns), F.lit(8 * len(small.columns)))
+    rows, size = small.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(small) if rows <= limit and size <= most else small
