@@ -317,3 +317,36 @@ def test_a_document_is_scored_without_its_own_counts(spark):
 def test_markup_of_any_length_is_dropped():
     assert sentence_features("<p class='" + "x " * 90 + "'>One two.</p>", {})[0] == [3]
     assert sentence_features("one < two words > three", {})[0] == [len({"one", "two", "words", "three"}) + 3]
+
+
+def test_smallest_cuts_the_edge_bin_until_it_can_be_ranked(spark):
+    df = spark.range(4000).select(F.when(c("id") < 3000, "a").otherwise("b").alias("g"), c("id").alias("k")).withColumn("priority", F.concat(F.lit("00000"), F.substring(priority("s", c("k")), 1, 27)))
+    want = {g: {r["k"] for r in sorted(df.filter(c("g") == g).collect(), key=lambda r: r["priority"])[:700]} for g in ("a", "b")}
+    quotas = spark.createDataFrame([("a", 700), ("b", 700)], "g string, quota long")
+    got = smallest(df, quotas, ["g"], ["k"], ranked=3)
+    assert got.columns == df.columns and {g: {r["k"] for r in got.filter(c("g") == g).collect()} for g in ("a", "b")} == want
+    everything = {r["k"] for r in sorted(df.collect(), key=lambda r: r["priority"])[:900]}
+    assert {r["k"] for r in smallest(df, 900, [], ["k"], ranked=3).collect()} == everything
+    assert smallest(df, 9000, [], ["k"]).count() == 4000 and smallest(df, 0, [], ["k"]).count() == 0
+    assert "NestedLoop" not in smallest(df, 900, [], ["k"])._jdf.queryExecution().toString()
+
+
+def test_shortfalls_come_from_the_allocation(spark, monkeypatch):
+    from tidepanel.llm import sampling
+
+    population = spark.createDataFrame([(i, "a" if i < 50 else "b") for i in range(60)], "k long, g string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1), ("c", 0.0, 2)], "g string, s double, m int")
+    short = lambda: {r["g"] for r in proportional_quotas(population, targets, category=["g"], share="s", least="m", rate=0.5).filter("short").collect()}
+    assert short() == {"b", "c"}
+    monkeypatch.setattr(sampling, "allocate", lambda n, shares, floors, caps: [0] * len(shares))
+    assert short() == {"a", "b", "c"}
+
+
+def test_ledger_is_resumed_by_a_second_session(spark, tmp_path):
+    first = SampleLedger(spark, str(tmp_path / "l"), ["permno", "dlycaldt"], 0.1, "s")
+    a = {tuple(r) for r in first.update(keys(spark, 300)).select("permno", "dlycaldt", "generation").collect()}
+    written = sorted(p.name for p in (tmp_path / "l" / "generation-000001").iterdir())
+    second = SampleLedger(spark.newSession(), str(tmp_path / "l"), ["permno", "dlycaldt"], 0.1, "s")
+    b = {tuple(r) for r in second.update(keys(spark, 400)).select("permno", "dlycaldt", "generation").collect()}
+    assert a < b and len(b) == 40 and {g for _, _, g in b - a} == {2}
+    assert written == sorted(p.name for p in (tmp_path / "l" / "generation-000001").iterdir())  # nothing is rewritten

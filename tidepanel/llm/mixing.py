@@ -2,24 +2,20 @@
 
 Each document of a source has the same expected number of copies. The prefix sums
 of the expected copies, in the order of size and hash within the source, are
-shifted by one random offset, and a copy is emitted at each whole number crossed;
-so a document is used the rounded-down or rounded-up number of times, and a
-source's total misses its target by little more than one document.
+shifted by one random offset of the source, and a copy is emitted at each whole
+number crossed; so a document is used the rounded-down or rounded-up number of
+times, and a source's total misses its target by about one of its longest documents.
 """
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.session import sized, staged
+from tidepanel.session import sized
 
-#: Bins of size per power of two, and of hash, by which the order within a source is cut.
-SIZE_BINS, HASH_BINS = 8, 64
-#: Share of its source's quota above which a document is drawn before the rest.
-LARGE = 0.005
+#: Bins of size per power of two by which the order within a source is cut, and documents that a cell of hashes is meant to hold.
+SIZE_BINS, CELL_ROWS = 8, 50_000
 
 
 def folded_name(name: Column) -> Column:
@@ -45,48 +41,35 @@ def mix_plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -
     return spark.createDataFrame(out, "source string, target_weight double, max_repeats int, documents long, tokens long, copies double")
 
 
-def _systematic(rows: DataFrame, seed: int) -> DataFrame:
-    """``rows`` (key, source, size, copies, max_repeats) with ``uses``, where at least one."""
+def mix_sources(sizes: DataFrame, plan: DataFrame, seed: int = 20260101) -> DataFrame:
+    """(key, source, size, uses) of every document used at least once.
+
+    The order within a source runs over cells of (size bin, hash bin), whose counts
+    are summed up in a small table, and within a cell; a source has as many hash
+    bins as its number of documents asks for, so that one with a third of all rows
+    is spread over its cells and none of them grows with the data.
+
+    Documents without tokens and of sources without target are not used.
+    Repeated rows are documents of their own.
+    """
     cell = ["source", "size_bin", "hash_bin"]
+    wanted = sized(plan.filter("copies > 0").select("source", "copies", "max_repeats", F.ceil(F.col("documents") / CELL_ROWS).alias("hash_bins")))
     rows = (
-        rows.withColumn("rank_hash", F.xxhash64(F.lit(seed), "key"))
+        sizes.select("key", "source", "size").filter("size > 0").join(wanted, "source")
+        .withColumn("rank_hash", F.xxhash64(F.lit(seed), "key"))
         .withColumn("size_bin", F.floor(F.log2("size") * SIZE_BINS).cast("int"))
-        .withColumn("hash_bin", F.pmod("rank_hash", F.lit(HASH_BINS)).cast("int"))
+        .withColumn("hash_bin", F.pmod("rank_hash", F.col("hash_bins")).cast("int"))
     )
     before = Window.partitionBy("source").orderBy("size_bin", "hash_bin").rowsBetween(Window.unboundedPreceding, -1)
     starts = sized(rows.groupBy(*cell).agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).select(*cell, "start"))
     within = Window.partitionBy(*cell).orderBy("size", "rank_hash", "key")
     ranked = rows.withColumn("k", F.row_number().over(within)).join(starts, cell).withColumn("k", F.col("k") + F.col("start"))
-    offset = random.Random(seed).random()
-    crossed = lambda k: F.floor(k * F.col("copies") + F.lit(offset))
+    offset = F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    crossed = lambda k: F.floor(k * F.col("copies") + offset)
     uses = F.least(crossed(F.col("k")) - crossed(F.col("k") - 1), F.col("max_repeats"))
     return ranked.withColumn("uses", uses.cast("int")).filter("uses > 0").select("key", "source", "size", "uses")
 
 
-def mix_sources(sizes: DataFrame, plan: DataFrame, seed: int = 20260101) -> DataFrame:
-    """(key, source, size, uses) of every document used at least once.
-
-    The order within a source runs over cells of (size bin, hash bin), whose
-    counts are summed up in a small table, and within a cell; so a source with a
-    third of all rows is spread over its cells. Documents above LARGE of a
-    source's quota are drawn first; what they leave of it sets the expected
-    copies of the rest, so that one long document doesn't shift the shares.
-
-    Documents without tokens and of sources without target are not used.
-    Repeated rows are documents of their own.
-    """
-    rows = sizes.select("key", "source", "size").filter("size > 0").join(F.broadcast(plan.filter("copies > 0").select("source", "tokens", "copies", "max_repeats")), "source")
-    large = F.col("size") > LARGE * F.col("copies") * F.col("tokens")
-    first = staged(_systematic(rows.filter(large), seed))
-    used = first.groupBy("source").agg(F.sum(F.col("size") * F.col("uses")).alias("used"))
-    held = rows.filter(~large).groupBy("source").agg(F.sum("size").alias("held"))
-    left = F.col("copies") * F.col("tokens") - F.coalesce("used", F.lit(0))
-    rate = F.greatest(F.lit(0.0), F.least(left / F.col("held"), F.col("max_repeats").cast("double")))
-    rest = staged(plan.join(held, "source").join(used, "source", "left").select("source", rate.alias("rate")))
-    again = rows.filter(~large).join(F.broadcast(rest), "source").withColumn("copies", F.col("rate")).filter("copies > 0")
-    return first.unionByName(_systematic(again, seed + 1))
-
-
 def mix_shares(mix: DataFrame, plan: DataFrame) -> DataFrame:
     """Shares reached: one row per target source, also of those without documents."""
     got = mix.groupBy("source").agg(F.sum(F.col("size") * F.col("uses")).alias("tokens_used"), F.count("*").alias("documents_used"), F.max("uses").alias("most_uses"))

@@ -12,6 +12,7 @@ from tidepanel.llm.mixing import folded_name, mix_plan, mix_shares, mix_sources
 from tidepanel.llm.sampling import SampleLedger, proportional_quotas, proportional_sample
 from tidepanel.llm.subjects import assign_subjects
 from tidepanel.session import kept_folder, staged
+from tidepanel.sources.files import qualified
 from tidepanel.sources.tables import table
 
 c = F.col
@@ -26,8 +27,7 @@ SEED = "panel-sample-1"
 def _ledger(spark: SparkSession, d: str) -> DataFrame:
     key = ["permno", "dlycaldt"]
     arrived = staged(table(spark, d, "final_panel").select(*key, "loaded_at").dropna(subset=key).groupBy(*key).agg(F.min("loaded_at").alias("arrived")))
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/final_panel")
-    place = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    place = qualified(spark, f"{d}/final_panel")
     identity = hashlib.sha256("|".join([place, *key, str(LEDGER_RATE), SEED]).encode()).hexdigest()[:32]
     ledger = SampleLedger(spark, kept_folder(spark, f"ledger-{identity}"), key, LEDGER_RATE, SEED)
     # a ledger that has been through the early states goes on with the table as it is now
@@ -64,7 +64,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_quotas(spark: SparkSession, d: str) -> DataFrame:
     """Target, available and sampled numbers per category, with the shortfall."""
-    return _population(spark, d)[1].withColumn("shortfall", F.greatest(c("wanted") - c("available"), F.lit(0)))
+    return _population(spark, d)[1].withColumn("shortfall", c("wanted") - c("granted"))
 
 
 def p6_sample(spark: SparkSession, d: str) -> DataFrame:

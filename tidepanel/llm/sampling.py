@@ -9,28 +9,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.operators.selection import priority, smallest
+from tidepanel.session import staged
+from tidepanel.sources.files import exists
 
 
 class SampleLedger:
     """A sample kept as a persisted ledger of (key columns, priority, generation).
 
-    Each update writes the ledger's next state under ``folder``; members stay. A
-    ledger opened on a folder that has states goes on from the last whole one.
+    Each update appends what it selects as a generation of its own (which may be
+    empty) under ``folder``; nothing written before is touched, so members stay. A ledger opened
+    on a folder that has generations goes on from the last whole one.
     """
 
     def __init__(self, spark: SparkSession, folder: str, key: list[str], rate: float, seed: str) -> None:
         self.spark, self.folder, self.key, self.rate, self.seed = spark, folder, key, Fraction(str(rate)), seed
         self.generation = 0
-        while self._whole(self.generation + 1):
+        while exists(spark, f"{self._place(self.generation + 1)}/_SUCCESS"):
             self.generation += 1
 
-    def _whole(self, generation: int) -> bool:
-        """Whether a state was written to its end."""
-        mark = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/generation={generation}/_SUCCESS")
-        return mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(mark)
+    def _place(self, generation: int) -> str:
+        return f"{self.folder}/generation-{generation:06d}"
 
-    def read(self, generation: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/generation={self.generation if generation is None else generation}")
+    def read(self, generation: int | None = None) -> DataFrame | None:
+        """The ledger up to ``generation`` (the last one); None before the first."""
+        upto = self.generation if generation is None else generation
+        return self.spark.read.parquet(*[self._place(g) for g in range(1, upto + 1)]) if upto else None
 
     def update(self, population: DataFrame) -> DataFrame:
         """The ledger after ``population``, distinct keys of the grown table, was seen.
@@ -41,19 +44,15 @@ class SampleLedger:
         with a null key part aren't sampled; repeats count once.
         """
         known = population.select(*self.key).dropna().distinct()
-        ranked = known.withColumn("priority", priority(self.seed, *[F.col(k) for k in self.key]))
-        quota = floor(self.rate * known.count())
-        if self.generation:
-            ledger = self.read()
-            present = known.join(ledger.select(*self.key), self.key, "left_semi").count()
-            unseen = ranked.join(ledger.select(*self.key), self.key, "left_anti")
-        else:
-            ledger, present, unseen = None, 0, ranked
-        wanted = self.spark.createDataFrame([("all", max(0, quota - present))], "_all string, quota long")
-        new = smallest(unseen.withColumn("_all", F.lit("all")), wanted, ["_all"], self.key).drop("_all").withColumn("generation", F.lit(self.generation + 1))
-        state = new if ledger is None else ledger.unionByName(new.select(*ledger.columns))
+        ledger = self.read()
+        held = F.lit(None).cast("int") if ledger is None else F.col("generation")
+        joined = staged((known if ledger is None else known.join(ledger.select(*self.key, "generation"), self.key, "left")).select(*self.key, held.alias("held")))
+        total, present = joined.agg(F.count("*"), F.count("held")).first()
+        wanted = floor(self.rate * total) - present
+        unseen = joined.filter("held is null").select(*self.key, priority(self.seed, *[F.col(k) for k in self.key]).alias("priority"))
+        new = smallest(unseen, max(0, wanted), [], self.key) if wanted > 0 else unseen.limit(0)
         self.generation += 1
-        state.select(*self.key, "priority", "generation").write.mode("overwrite").parquet(f"{self.folder}/generation={self.generation}")
+        new.withColumn("generation", F.lit(self.generation)).write.mode("overwrite").parquet(self._place(self.generation))
         return self.read()
 
 
@@ -89,26 +88,29 @@ def allocate(n: int, shares: list[Fraction], floors: list[int], caps: list[int])
 
 
 def proportional_quotas(population: DataFrame, targets: DataFrame, *, category: list[str], share: str, least: str, rate: float) -> DataFrame:
-    """(category, target, available, wanted, quota, short) for each row of ``targets``.
+    """(category, target, available, wanted, quota, granted, short) for each row of ``targets``.
 
     ``population`` holds one row per member with the category columns. The sample
-    size is ``rate`` of all of it, rounded down. ``wanted`` is the greater of the
-    minimum and the rounded-up target; ``short`` where fewer members exist. The
+    size is ``rate`` of all of it, rounded down; ``quota`` are the whole numbers
+    that the sample takes. ``wanted`` is the greater of the minimum and the
+    rounded-up target, and ``granted`` what the same allocation gives if every
+    category insists on it; ``short`` where that is less, as members are missing. The
     targets are a small table (one row per category); members of other categories
     count in the size of the population only. Null shares and minima count as 0.
     """
     spark = population.sparkSession
-    counts = population.groupBy(*category).agg(F.count("*").alias("available"))
+    counts = staged(population.groupBy(*category).agg(F.count("*").alias("available")))
     total = counts.agg(F.sum("available")).first()[0] or 0
     n = floor(Fraction(str(rate)) * total)
     rows = targets.select(*category, F.col(share).alias("target"), F.col(least).alias("least")).join(counts, category, "left").orderBy(*category).collect()
     shares = [Fraction(str(r["target"] or 0)) for r in rows]
     floors, caps = [int(r["least"] or 0) for r in rows], [int(r["available"] or 0) for r in rows]
-    quotas = allocate(n, shares, floors, caps)
     wanted = [max(f, ceil(s * n)) for f, s in zip(floors, shares, strict=True)]
+    quotas, granted = allocate(n, shares, floors, caps), [min(g, w) for g, w in zip(allocate(n, shares, wanted, caps), wanted, strict=True)]
     kinds = dict(targets.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in category), "target double, available long, wanted long, quota long, short boolean"])
-    return spark.createDataFrame([(*[r[c] for c in category], float(s), a, w, q, a < w) for r, s, a, w, q in zip(rows, shares, caps, wanted, quotas, strict=True)], schema)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in category), "target double, available long, wanted long, quota long, granted long, short boolean"])
+    out = zip(rows, shares, caps, wanted, quotas, granted, strict=True)
+    return spark.createDataFrame([(*[r[c] for c in category], float(s), a, w, q, g, g < w) for r, s, a, w, q, g in out], schema)
 
 
 def proportional_sample(population: DataFrame, quotas: DataFrame, *, category: list[str], key: list[str], seed: str) -> DataFrame:
