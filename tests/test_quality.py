@@ -74,10 +74,10 @@ def test_market_day_is_excused(spark):
 
 def test_level_rule(spark):
     v = [20 + 0.1 * (i % 9) for i in range(40)]
-    v[10], v[20], v[30] = 55.0, 3.0, v[29]
+    v[10], v[15], v[20], v[30] = 55.0, -20.5, 3.0, v[29]
     df = spark.createDataFrame([(i, day(i), x) for i, x in enumerate(v)], "id long, d date, v double")
     out = flag_spikes(df, LEVEL_RULE, source=F.lit(0), time=c("d"), value=c("v"), order=c("id"), impossible=c("v") <= 0, exempt=F.lit(False))
-    assert {(r["order"], r["spike"], r["stuck"]) for r in out.collect()} == {(10, True, False), (20, True, False), (30, False, True)}
+    assert {(r["order"], r["spike"], r["stuck"]) for r in out.collect()} == {(10, True, False), (15, True, False), (20, True, False), (30, False, True)}
 
 
 @pytest.mark.parametrize("n", [12, 25, 29])

@@ -172,9 +172,10 @@ def source_findings(source: int, day: np.ndarray, order: np.ndarray, first: np.n
         excused[0] = True
     day, order, first, last, low, high = day[at], order[at], first[at], last[at], low[at], high[at]
     with np.errstate(divide="ignore", invalid="ignore"):
-        y = np.log(np.abs(first))
+        # a level has no size at or below 0: its log is taken as that of 0
+        size = (lambda v: np.maximum(v, 0.0)) if rule.two_sided else np.abs
+        y, top, bottom = np.log(size(first)), np.log(size(high)), np.log(size(low))
         y[~np.isfinite(y)] = np.nan
-        top, bottom = np.log(np.abs(high)), np.log(np.abs(low))
     noise = noise_variances(y, rule)
     forth, forth_sd, _ = kalman_levels(y, rule, noise)
     back, back_sd, _ = (x[::-1] for x in kalman_levels(y[::-1], rule, noise))

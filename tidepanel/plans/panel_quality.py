@@ -31,8 +31,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
-    """The implausible readings with the reason and the standardised innovation."""
-    return _spikes(spark, d).select("source_table", c("order").alias("row_id"), "impossible", "spike", "stuck", F.round("innovation", 6).alias("innovation"))
+    """The implausible readings and which of the three rules each breaks."""
+    return _spikes(spark, d).select("source_table", c("order").alias("row_id"), "impossible", "spike", "stuck")
+
+
+def p1_innovations(spark: SparkSession, d: str) -> DataFrame:
+    """The implausible readings with the standardised innovation of the filter."""
+    return _spikes(spark, d).select("source_table", c("order").alias("row_id"), F.round("innovation", 6).alias("innovation"))
 
 
 def _activity(spark: SparkSession, d: str) -> tuple[DataFrame, dict]:
@@ -97,7 +102,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _attributes(spark, d).filter(wrong).select("row_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_totals, p4_found, p4_report, p5_found, p5_attributes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p1_innovations, p2_found, p2_totals, p4_found, p4_report, p5_found, p5_attributes)}
 
 #: Each price row's readings on the previous date and the median around it, by plain window functions.
 _P1 = """
@@ -116,11 +121,12 @@ with p as (select row_id, permno, dlycaldt d, dlyret r, dlydelflg y, row_number(
  v as (select vix_row_id, date d, vix_close r, vixl, vixh, row_number() over (partition by date order by vix_row_id) copy, row_number() over (partition by date order by vix_row_id desc) back
   from vix where vix_close is not null and not isnan(vix_close) and date is not null),
  vd as (select *, lag(r) over (order by d) pr, lag(d) over (order by d) pd, median(abs(r)) over (order by d rows between 5 preceding and 5 following) m from v where copy = 1),
- vj as (select v.*, vd.m, vd.pr, l.r pl from v join vd using (d) left join v l on l.d = vd.pd and l.back = 1)
-select 'daily_prices' source_table, row_id from j where r < -1 or row_id in (select row_id from big where row_id not in (select row_id from excused))
-  or (copy = 1 and (r = pr or r = pl) and not (lazy and r = 0))
-union all
-select 'vix', vix_row_id from vj where r <= 0 or r > case when not isnan(vixh) then vixh end or r < case when not isnan(vixl) then vixl end or r > 2 * m or r < m / 2 or (copy = 1 and (r = pr or r = pl))
+ vj as (select v.*, vd.m, vd.pr, l.r pl from v join vd using (d) left join v l on l.d = vd.pd and l.back = 1),
+ f as (select 'daily_prices' source_table, row_id, coalesce(r < -1, false) impossible,
+   row_id in (select row_id from big where row_id not in (select row_id from excused)) spike, coalesce(copy = 1 and (r = pr or r = pl) and not (lazy and r = 0), false) stuck from j
+  union all
+  select 'vix', vix_row_id, coalesce(r <= 0 or r > case when not isnan(vixh) then vixh end or r < case when not isnan(vixl) then vixl end, false),
+   coalesce(r > 2 * m or r < m / 2, false), coalesce(copy = 1 and (r = pr or r = pl), false) from vj)
 """
 
 _P2 = """
@@ -153,7 +159,8 @@ with right_key as (select p.row_id, arg_max(l.gvkey, (l.recorded_on, strftime(l.
 """
 
 SQL = {
-    "p1_found": _P1,
+    "p1_found": _P1 + "select source_table, row_id from f where impossible or spike or stuck",
+    "p1_reasons": _P1 + "select * from f where impossible or spike or stuck",
     "p2_found": _P2 + "select permno, day from t where n7 = 0",
     "p2_totals": _P2 + "select permno, day, round(s7, 10) + 0.0 total_7, round(s7 / n7, 10) + 0.0 average_7, round(s30, 10) + 0.0 total_30, round(s30 / n30, 10) + 0.0 average_30, n7 values_7, n30 values_30 from t",
     "p4_found": _P4 + "select source_table, row_id from o",
