@@ -9,7 +9,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.functions.columns import close_to, complete, finite, number, qlike, regime
+from tidepanel.functions.columns import close_to, complete
+from tidepanel.functions.columns import day as to_day
+from tidepanel.functions.columns import finite, number, qlike, regime
 from tidepanel.operators import evaluation as ev
 from tidepanel.operators import forests, garch, guards, panels, ranking, temporal, timeseries, treekernel
 from tidepanel.sources import scans, sinks
@@ -258,7 +260,7 @@ def test_garch_filter(spark):
     assert out[3, date(2020, 1, 1)]["sigma2"] is None
 
 
-def test_garch_fit_recovers_parameters():
+def test_garch_fit_recovers_parameters(spark):
     rng, h, x = np.random.default_rng(7), 1.0, []
     for _ in range(4000):
         x.append(math.sqrt(h) * rng.normal())
@@ -268,8 +270,9 @@ def test_garch_fit_recovers_parameters():
     best = garch.likelihoods(np.square(x), np.array([omega, 0.05]), np.array([alpha, 0.1]), np.array([beta, 0.85]), 1.0)[0]
     assert best[0] <= best[1] + 0.5
     assert garch.fit_garch(np.zeros(300)) is None
-    years = np.array([2000] * 300 + [2001] * 10)
-    assert [s for _, s, _ in garch.yearly_fits(years, np.array(x[:310]))] == ["insufficient_history", "ok"]
+    rows = [(1, date(2000, 1, 1) + timedelta(days=i + (66 if i >= 300 else 0)), float(v) / 100) for i, v in enumerate(x[:310])]
+    fits = garch.garch_parameters(spark.createDataFrame(rows, "permno long, d date, r double")).orderBy("year").collect()
+    assert [(r["year"], r["status"]) for r in fits] == [(2000, "insufficient_history"), (2001, "ok")]
 
 
 def test_allocation_and_sample(spark):
@@ -417,6 +420,83 @@ def test_selection_and_resume(spark, tmp_path):
         forests.tune(grid, df, df, actual="y", trees=4, state=state, identity="other")
 
 
+def test_complementary_error(spark):
+    x = [0.0, 1e-9, 0.3, 1.0, 2.99, 3.0, 3.01, 5.0, 12.0, float("inf")]
+    got = [r[1] for r in sorted(spark.createDataFrame([(v,) for v in x], "x double").select("x", ev.complementary_error(c("x"))).collect())]
+    assert got == pytest.approx([math.erfc(v) for v in x], rel=1e-10, abs=1e-15)
+
+
+def test_garch_likelihood_equals_a_plain_loop():
+    rng = np.random.default_rng(4)
+    x2, bounds = rng.normal(0, 1.5, 60) ** 2, np.array([13, 13, 40, 60])
+    omega, alpha, beta = rng.uniform(0.01, 0.2, (4, 3)), rng.uniform(0, 0.2, (4, 3)), rng.uniform(0.5, 0.79, (4, 3))
+    loss, ahead = garch.history_likelihoods(x2, bounds, omega, alpha, beta, np.array([1.0, 2.0, 1.0, 0.5]))
+    for i, start in enumerate((1.0, 2.0, 1.0, 0.5)):
+        for j in range(3):
+            h, total = start, 0.0
+            for v in x2[: bounds[i]]:
+                total += (math.log(max(h, 1e-12)) + v / max(h, 1e-12)) / 2
+                h = omega[i, j] + alpha[i, j] * v + beta[i, j] * max(h, 1e-12)
+            assert (loss[i, j], ahead[i, j]) == pytest.approx((total, h))
+
+
+def test_fits_of_histories_are_those_of_each(spark):
+    x = np.random.default_rng(5).normal(0, 1.2, 700)
+    each = [garch.fit_garch(x[:b]) for b in (300, 500, 700)]
+    together = garch.fit_histories(x, np.array([300, 500, 700]))
+    assert [t == pytest.approx(e) for t, e in zip(together, each)] == [True] * 3
+    assert garch.fit_histories(np.zeros(300), np.array([0, 300])) == [None, None]
+    rows = [(1, date(2010, 1, 1) + timedelta(days=i), None if i % 9 == 0 else float(v) / 100) for i, v in enumerate(x)] + [(2, date(2011, 5, 5), 0.1), (2, date(2013, 5, 5), None)]
+    rows += [(3, date(2010, 1, 1) + timedelta(days=i), 0.0) for i in range(400)]
+    got = {(r["permno"], r["year"]): r for r in garch.garch_parameters(spark.createDataFrame(rows, "permno long, d date, r double")).collect()}
+    assert {k: r["status"] for k, r in got.items()} == {(1, 2010): "insufficient_history", (1, 2011): "ok", (2, 2011): "insufficient_history", (2, 2013): "insufficient_history", (3, 2010): "insufficient_history", (3, 2011): "fit_failed_or_degenerate"}
+    past = np.array([v for i, v in enumerate(x[:365]) if i % 9])
+    assert tuple(got[1, 2011])[3:] == pytest.approx(garch.fit_garch(past)) and got[3, 2011]["omega"] is None
+
+
+def test_hashes_count_repeats_and_writes_are_whole(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "k long, s string")
+    hashed = lambda x: sinks.content_hash(x).first()["hash"]
+    other = spark.createDataFrame([(3, "b")], "k long, s string")
+    twice = lambda x: df.unionByName(x).unionByName(x)
+    assert hashed(twice(other)) != hashed(twice(other.withColumn("k", F.lit(4).cast("long")))) and hashed(df) == hashed(df.repartition(3))
+    path = str(tmp_path / "t")
+    sinks.write_parquet(df, path)
+    with pytest.raises(Exception, match="DIVIDE|boom"):
+        sinks.write_parquet(df.withColumn("k", F.raise_error(F.lit("boom"))), path)
+    assert spark.read.parquet(path).count() == 2 and [p.name for p in tmp_path.iterdir()] == ["t"]
+    sinks.write_parquet(other, path)
+    assert spark.read.parquet(path).count() == 1
+
+
+def test_bounded_scans_and_guards(spark):
+    df = spark.createDataFrame([(3, "x"), (1, "2"), (2, "2010-01-05")], "k long, s string")
+    assert [r["k"] for r in scans.profiled_rows(df, ["k"], 2).collect()] == [1, 2]
+    assert scans.renamed_scan(df, c("k") > 1, {"s": "t"}).columns == ["t"]
+    assert [(r[0], r[1] and str(r[1])) for r in df.orderBy("k").select(number(c("s")), to_day(c("s"))).collect()] == [(2.0, None), (None, "2010-01-05"), (None, None)]
+    flags = spark.createDataFrame([(True, 1, False), (None, 0, False), (False, 2, False)], "f boolean, n int, g boolean")
+    assert guards.violations(flags, {"bad": guards.inconsistent_flag("f", c("n") > 0)}).first()[0] == 1
+    assert guards.empty_masks(flags, ["f", "g"]).first()[0] == 1 and guards.empty_masks(flags.limit(0), ["f", "g"]).first()[0] == 2
+    guards.require_digest("a", "a", "x")
+    with pytest.raises(guards.GuardError):
+        guards.require_digest("a", "b", "x")
+
+
+def test_planted_keys_and_targets_are_found(spark):
+    key = ["permno", "d"]
+    a = spark.createDataFrame([(i % 3, day(i), 0.1 * (i + 1)) for i in range(30)], "permno long, d date, t double")
+    b = a.filter("d <> date '2010-01-05'").withColumn("t", F.when(c("d") == F.lit(day(7)), c("t") * 1.001).when(c("d") == F.lit(day(8)), c("t") * (1 + 1e-7)).otherwise(c("t")))
+    b = b.unionByName(spark.createDataFrame([(9, day(3), 1.0), (9, day(4), 1.0)], b.schema))
+    assert panels.compare_populations(a, b, key, "t").first() == (29, 1, 2, 1)
+    with pytest.raises(guards.GuardError):
+        panels.require_same_population(a, b, key, "t", "x")
+    sides = {f"m{k}": a.filter(c("d") != F.lit(day(k))).select(*key, F.lit(1.0).alias(f"m{k}")) for k in range(4)}
+    out = panels.common_panel(a.withColumn("m", c("t")), sides, key, ["m", *sides])
+    assert out.count() == 26 and {r["d"] for r in out.collect()} == {day(i) for i in range(4, 30)}
+    with pytest.raises(guards.GuardError):
+        panels.common_panel(a.withColumn("m", c("t")), {"m0": sides["m0"].unionByName(sides["m0"].limit(1))}, key, ["m"])
+
+
 def test_common_panel_holds_five_models_over_all_dates(spark, tmp_path):
     import __spark_entry__ as entry
     from tidepanel.plans.base import MODELS

@@ -19,6 +19,11 @@ def number(x: Column) -> Column:
     return F.nanvl(x.try_cast("double"), F.lit(None))
 
 
+def day(x: Column) -> Column:
+    """``x`` as a date, with what can't be read as null."""
+    return x.try_cast("date")
+
+
 def all_true(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 

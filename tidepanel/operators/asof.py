@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.session import sized
+from tidepanel.session import sized, staged
 
 #: Events a bucket is meant to hold; entities with more are salted.
 BUCKET_ROWS = 150_000
@@ -73,7 +73,7 @@ def asof_attributes(events: DataFrame, intervals: DataFrame, names: list[str], *
     spark = events.sparkSession
     carry = carry or {}
     rows = events.select(record.cast("long").alias("record"), entity.cast("long").alias("entity"), F.datediff(time.cast("date"), F.lit("1970-01-01").cast("date")).alias("day"), *(c.cast("string").alias(f"carry_{k}") for k, c in carry.items()))
-    counts = rows.groupBy("entity").agg(F.count("*").alias("n"))
+    counts = staged(rows.groupBy("entity").agg(F.count("*").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_rows))
     hot = sized(counts.filter(F.col("n") > bucket_rows).select("entity", F.ceil(F.col("n") / bucket_rows).cast("int").alias("salts")))

@@ -98,6 +98,23 @@ def inconsistent_log(value: str, log_value: str) -> Column:
     return ~close_to(F.col(log_value), F.ln(value))
 
 
+def inconsistent_flag(flag: str, rule: Column) -> Column:
+    """A stored flag that isn't what its rule gives, null counting as false."""
+    return F.coalesce(F.col(flag), F.lit(False)) != F.coalesce(rule, F.lit(False))
+
+
+def empty_masks(df: DataFrame, masks: list[str]) -> DataFrame:
+    """One row with the number of masks that hold no row."""
+    held = df.agg(*[F.coalesce(F.bool_or(m), F.lit(False)).alias(m) for m in masks])
+    return held.select(sum((F.when(F.col(m), 0).otherwise(1) for m in masks), F.lit(0)).cast("long").alias("empty_masks"))
+
+
+def require_digest(found: str, locked: str, label: str) -> None:
+    """A digest equals the one that was locked."""
+    if found != locked:
+        raise GuardError(f"{label}: the digest is {found}, not {locked}")
+
+
 def require_ordered(low: float | None, high: float | None, label: str) -> None:
     if low is None or high is None or not low < high:
         raise GuardError(f"{label}: thresholds {low} and {high} aren't in order")

@@ -8,12 +8,12 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.columns import all_finite, close_to, estimate_text, qlike, regime, rounded
+from tidepanel.functions.columns import all_finite, close_to, day, estimate_text, number, qlike, regime, rounded
 from tidepanel.operators import evaluation as ev
 from tidepanel.operators import garch, guards, panels, ranking, temporal, timeseries
 from tidepanel.operators.references import padded_key
 from tidepanel.plans.base import FORECASTS, INDEX, MODELS, PANEL, VOL, c, forecasts, index_levels, panel, volatility
-from tidepanel.sources.scans import key_scan
+from tidepanel.sources.scans import key_scan, literal_grid, profiled_rows, renamed_scan
 from tidepanel.sources.sinks import content_hash
 from tidepanel.sources.tables import table
 
@@ -139,6 +139,43 @@ def key_list_scan(spark: SparkSession, d: str) -> DataFrame:
     return key_scan(rows, table(spark, d, "universe"), "permno", day="dlycaldt", first="2005-01-01", last="2024-12-31")
 
 
+@query("select gvkey company, permno security, linkdt sdate, linkenddt edate from link_history where linkprim in ('P', 'C') and permno is not null")
+def aliased_links(spark: SparkSession, d: str) -> DataFrame:
+    """A4: the links of two grades under other names."""
+    return renamed_scan(table(spark, d, "link_history"), c("linkprim").isin("P", "C") & c("permno").isNotNull(), {"gvkey": "company", "permno": "security", "linkdt": "sdate", "linkenddt": "edate"})
+
+
+@query("select ticker, permno, anndats announced, pends period_end from earnings_dates where ticker is not null and pends is not null and anndats between date '2005-01-01' and date '2024-12-31' and pends <= anndats")
+def event_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A5: events that meet several conditions at once, all pushed to the scan."""
+    good = c("ticker").isNotNull() & c("pends").isNotNull() & c("anndats").between(F.lit("2005-01-01").cast("date"), F.lit("2024-12-31").cast("date")) & (c("pends") <= c("anndats"))
+    return renamed_scan(table(spark, d, "earnings_dates"), good, {"ticker": "ticker", "permno": "permno", "anndats": "announced", "pends": "period_end"})
+
+
+@query("select dlyprcflg, count(*) n, count(dlyret) returns, count(dlyprc) prices from (select * from daily_prices order by row_id limit 500000) group by 1")
+def profiling_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A profile of the first 500,000 deliveries; the bound is the feature, ``null_profile`` reads all."""
+    rows = profiled_rows(table(spark, d, "daily_prices").select("row_id", "dlyprcflg", "dlyret", "dlyprc"), ["row_id"], 500_000)
+    return rows.groupBy("dlyprcflg").agg(F.count("*").alias("n"), F.count("dlyret").alias("returns"), F.count("dlyprc").alias("prices"))
+
+
+@query("""with w as (select target_end_date e, dlycaldt d, permno p from final_panel where permno is not null)
+ select x.p permno, x.x d, coalesce(n, 0) n from (select permno p, day::date x from (values (10001), (10002), (10003)) k(permno), (values ('2015-01-02'), ('2020-03-16')) v(day)) x
+ left join (select p, d, count(*) n from w group by 1, 2) y on y.p = x.p and y.d = x.x""")
+def literal_origins(spark: SparkSession, d: str) -> DataFrame:
+    """A grid of literal keys and days, with the panel's rows for each."""
+    grid = literal_grid(spark, [10001, 10002, 10003], ["2015-01-02", "2020-03-16"])
+    rows = table(spark, d, "final_panel").groupBy("permno", c("dlycaldt").alias("d")).agg(F.count("*").alias("n"))
+    return grid.join(rows, ["permno", "d"], "left").select("permno", "d", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("select panel_id, try_cast(trim(gvkey) as double) company_number, try_cast(vix_regime as double) regime_number, try_cast(cast(target_end_date as varchar) as date) end_day, try_cast(trim(gvkey) || 'x' as date) no_day from final_panel")
+def coerced_values(spark: SparkSession, d: str) -> DataFrame:
+    """Text read as numbers and dates, null where it is neither."""
+    rows = table(spark, d, "final_panel")
+    return rows.select("panel_id", number(F.trim("gvkey")).alias("company_number"), number(c("vix_regime")).alias("regime_number"), day(c("target_end_date").cast("string")).alias("end_day"), day(F.concat(F.trim("gvkey"), F.lit("x"))).alias("no_day"))
+
+
 @query("select distinct permno, ticker from earnings_dates where ticker is not null")
 def distinct_names(spark: SparkSession, d: str) -> DataFrame:
     """The distinct names of securities."""
@@ -228,22 +265,29 @@ def calendar_coverage(spark: SparkSession, d: str) -> DataFrame:
  count(*) filter (where not p and (vixh < vixl or vix_close not between vixl and vixh)) close_outside, count(*) filter (where not p and vixo not between vixl and vixh) open_outside, count(*) filter (where date not between date '2005-01-01' and date '2024-12-31') outside_sample
  from (select *, a and b and c and d e, a or b or c or d p from (select *, vixo is null or isnan(vixo) a, vixh is null or isnan(vixh) b, vixl is null or isnan(vixl) c, vix_close is null or isnan(vix_close) d from vix))""")
 def index_guard(spark: SparkSession, d: str) -> DataFrame:
-    """Rule violations of the raw index, in one aggregate."""
+    """Rule violations of the raw index, in one aggregate."""
     return guards.violations(table(spark, d, "vix"), guards.index_rules(date(2005, 1, 1), date(2024, 12, 31)))
 
 
 @query("""select (select count(*) from universe where universe_start is null or universe_end is null or universe_start > universe_end) bad_spells, (select count(*) from daily_prices where dlyret < -1) bad_returns,
  (select coalesce(sum(n - 1), 0)::bigint from (select count(*) n from daily_prices group by permno, dlycaldt)) repeated_keys, (select count(distinct permno) from daily_prices where permno not in (select permno from universe where permno is not null)) unknown_entities,
- (select count(*) from final_panel where dlycaldt is null or target_end_date <= dlycaldt) bad_windows, (select count(*) from final_panel where vix_regime is null or vix_regime not in ('low', 'middle', 'high')) bad_regimes""")
+ (select count(*) from final_panel where dlycaldt is null or target_end_date <= dlycaldt) bad_windows, (select count(*) from final_panel where vix_regime is null or vix_regime not in ('low', 'middle', 'high')) bad_regimes,
+ (select count(*) from final_panel where target_forward_21d < 0 and not isnan(target_forward_21d)) bad_targets,
+ (select count(*) from final_panel where not coalesce(forecast_naive > 0 and forecast_ewma > 0 and forecast_garch > 0 and forecast_random_forest > 0 and forecast_xgboost > 0
+   and isfinite(forecast_naive) and isfinite(forecast_ewma) and isfinite(forecast_garch) and isfinite(forecast_random_forest) and isfinite(forecast_xgboost), false)) bad_forecasts,
+ (select count(*) from final_panel where coalesce(has_earnings_forward_21d, false) <> coalesce(earnings_count_forward_21d > 0, false)) bad_event_flags, 
+ (select count(*) from (select row_id, exists (select 1 from universe u where u.permno = p.permno and p.dlycaldt between u.universe_start and u.universe_end) m from daily_prices p))
+  - (select count(*) from daily_prices) rows_added_by_membership""")
 def guard_report(spark: SparkSession, d: str) -> DataFrame:
-    """Violations of the guards, one column each."""
+    """Violations of the guards, one column each."""
     prices, spells, final = (table(spark, d, t) for t in ("daily_prices", "universe", "final_panel"))
     parts = [
         guards.violations(spells, {"bad_spells": guards.bad_interval("universe_start", "universe_end")}),
         guards.violations(prices, {"bad_returns": guards.bad_return("dlyret")}),
         guards.duplicate_keys(prices, ["permno", "dlycaldt"]).agg(F.coalesce(F.sum(c("n") - 1), F.lit(0)).alias("repeated_keys")),
         prices.select("permno").dropna().distinct().join(spells.select("permno"), "permno", "left_anti").agg(F.count("*").alias("unknown_entities")),
-        guards.violations(final, {"bad_windows": guards.bad_window("dlycaldt", "target_end_date"), "bad_regimes": guards.outside_domain("vix_regime", ["low", "middle", "high"])}),
+        guards.violations(final, {"bad_windows": guards.bad_window("dlycaldt", "target_end_date"), "bad_regimes": guards.outside_domain("vix_regime", ["low", "middle", "high"]), "bad_targets": guards.bad_target("target_forward_21d"), "bad_forecasts": guards.bad_forecasts(list(MODELS.values())), "bad_event_flags": guards.inconsistent_flag("has_earnings_forward_21d", c("earnings_count_forward_21d") > 0)}),
+        temporal.membership_flag(prices.select("permno", "dlycaldt"), spells).agg(F.count("*").alias("after")).withColumn("_one", F.lit(1)).join(prices.agg(F.count("*").alias("before")).withColumn("_one", F.lit(1)), "_one").select((c("after") - c("before")).alias("rows_added_by_membership")),
     ]
     out = parts[0].withColumn("_one", F.lit(1))
     for p in parts[1:]:
@@ -357,23 +401,35 @@ def _high_difference(spark: SparkSession, d: str) -> DataFrame:
     return daily.select("dlycaldt", "regime", each.alias("e")).select("dlycaldt", "regime", "e.series", "e.x", "e.g")
 
 
-@query(f"""with {FORECASTS}, m as (select dlycaldt d, min(regime) regime, avg(ql) filter (where model = 'garch') g, avg(ql) filter (where model = 'random_forest') rf, avg(ql) filter (where model = 'xgboost') xg from losses group by 1),
- x as (select 'random_forest_vs_garch' series, d, g - rf x from m where regime = 'high' union all select 'xgboost_vs_garch', d, g - xg from m where regime = 'high'),
+_HAC = f"""with {FORECASTS}, m as (select dlycaldt d, min(regime) regime, avg(ql) filter (where model = 'garch') g,
+   avg(ql) filter (where model = 'random_forest') rf, avg(ql) filter (where model = 'xgboost') xg from losses group by 1),
+ x as (select 'random_forest_vs_garch' series, d, g - rf x from m where regime = 'high'
+  union all select 'xgboost_vs_garch', d, g - xg from m where regime = 'high'),
  y as (select *, row_number() over (partition by series order by d) i, count(*) over (partition by series) n, x - avg(x) over (partition by series) c from x),
  l as (select a.series, a.n, a.i - b.i k, sum(a.c * b.c) s from y a join y b on a.series = b.series and a.i - b.i between 0 and 20 group by 1, 2, 3),
- v as (select series, n, least(20, n - 1) lag, sum(case when k = 0 then s when k <= least(20, n - 1) then 2 * (1 - k / (least(20, n - 1) + 1.0)) * s else 0 end) / n lrv from l group by 1, 2),
- mu as (select series, avg(x) m from x group by 1)
- select series, n dates, round(m, 8) mean_difference, round(sqrt(greatest(lrv, 0) / n), 8) standard_error, round(m / sqrt(greatest(lrv, 0) / n), 6) z_statistic, lag from v join mu using (series) where n > 1""")
+ v as (select series, n, least(20, n - 1) lag,
+   sum(case when k = 0 then s when k <= least(20, n - 1) then 2 * (1 - k / (least(20, n - 1) + 1.0)) * s else 0 end) / n lrv from l group by 1, 2),
+ mu as (select series, avg(x) m from x group by 1),
+ h as (select series, n dates, m mean_difference, sqrt(greatest(lrv, 0) / n) standard_error, m / sqrt(greatest(lrv, 0) / n) z_statistic, lag from v join mu using (series) where n > 1)"""
+
+
+@query(f"{_HAC} select series, dates, round(mean_difference, 8) mean_difference, round(standard_error, 8) standard_error, round(z_statistic, 6) z_statistic, lag from h")
 def newey_west_stats(spark: SparkSession, d: str) -> DataFrame:
     """H7, H8: HAC test of the daily difference on dates of the high regime."""
     tests = ev.newey_west(_high_difference(spark, d).filter("regime = 'high'"), series="series", day="dlycaldt", value="x")
     return tests.select("series", "dates", *_r("mean_difference", "standard_error"), F.round("z_statistic", 6).alias("z_statistic"), "lag")
 
 
-@query()
+# the error function as the sum of 2^n x^(2n+1) / (1 * 3 * ... * (2n+1)), times its density
+@query(f"""{_HAC}, e as (select *, abs(z_statistic) / sqrt(2) q from h)
+ select series, dates, round(mean_difference, 8) mean_difference, round(standard_error, 8) standard_error, round(z_statistic, 6) z_statistic, lag,
+  round(greatest(case when q = 0 then 1 when q > 8 then 0 else 1 - 2 / sqrt(pi()) * exp(-q * q)
+   * list_sum(list_transform(range(0, 300), lambda n: exp(2 * n * ln(2) + (2 * n + 1) * ln(q) + lgamma(n + 1) - lgamma(2 * n + 2)))) end, 0), 8) + 0.0 two_sided_p_value,
+  round(mean_difference - 1.96 * standard_error, 8) + 0.0 ci_lower, round(mean_difference + 1.96 * standard_error, 8) + 0.0 ci_upper from e""")
 def newey_west_test(spark: SparkSession, d: str) -> DataFrame:
     """H7: the same with p-values and intervals."""
-    return ev.with_p_value(ev.newey_west(_high_difference(spark, d).filter("regime = 'high'"), series="series", day="dlycaldt", value="x"))
+    tests = ev.with_p_value(ev.newey_west(_high_difference(spark, d).filter("regime = 'high'"), series="series", day="dlycaldt", value="x"))
+    return tests.select("series", "dates", *_r("mean_difference", "standard_error"), F.round("z_statistic", 6).alias("z_statistic"), "lag", *_r("two_sided_p_value", "ci_lower", "ci_upper"))
 
 
 def _bootstrap(daily: DataFrame) -> DataFrame:
@@ -383,10 +439,13 @@ def _bootstrap(daily: DataFrame) -> DataFrame:
 @query()
 def block_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     """Intervals of pooled metrics by resampling blocks of dates, all groups and models in one pass."""
-    rows = _losses(spark, d).withColumn("groups", F.array(F.lit("overall"), F.concat(F.lit("vix_"), c("regime")), F.when(c("has_earnings_forward_21d"), "earnings").otherwise("no_earnings")))
-    metrics = F.array(*[F.struct(F.lit(n).alias("name"), c(x).alias("x")) for n, x in (("rmse", "squared_error"), ("mae", "absolute_error"), ("qlike", "qlike"))])
-    long = rows.select("dlycaldt", "model", F.explode("groups").alias("grp"), metrics.alias("m")).select("dlycaldt", "model", "grp", F.explode("m").alias("m"))
-    daily = long.groupBy("dlycaldt", F.concat_ws("/", "grp", "model", "m.name").alias("series")).agg(F.sum("m.x").alias("num"), F.count("m.x").alias("den"))
+    metrics = {"rmse": "squared_error", "mae": "absolute_error", "qlike": "qlike"}
+    # sums per date, model, regime and event first: the overlapping groups are made of these few rows
+    cells = _losses(spark, d).groupBy("dlycaldt", "model", "regime", "has_earnings_forward_21d").agg(*[F.struct(F.sum(x).alias("num"), F.count(x).alias("den")).alias(n) for n, x in metrics.items()])
+    groups = F.array(F.lit("overall"), F.concat(F.lit("vix_"), c("regime")), F.when(c("has_earnings_forward_21d"), "earnings").otherwise("no_earnings"))
+    each = F.array(*[F.struct(F.lit(n).alias("name"), c(f"{n}.num").alias("num"), c(f"{n}.den").alias("den")) for n in metrics])
+    long = cells.select("dlycaldt", "model", F.explode(groups).alias("grp"), each.alias("m")).select("dlycaldt", "model", "grp", F.inline("m"))
+    daily = long.groupBy("dlycaldt", F.concat_ws("/", "grp", "model", "name").alias("series")).agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
     values = _bootstrap(daily).withColumn("value", F.when(c("series").endswith("/rmse"), F.sqrt("value")).otherwise(c("value")))
     part = F.split("series", "/")
     return ev.bootstrap_intervals(values).select(part[0].alias("grp"), part[1].alias("model"), part[2].alias("metric"), "estimate", "ci_lower", "ci_upper", "valid_replicates")
@@ -456,6 +515,20 @@ def report_regimes(spark: SparkSession, d: str) -> DataFrame:
     return out.select("model", *_r("low", "middle", "high"))
 
 
+_CHARTS = ("rmse", "mae", "qlike")
+
+
+@query(f"""with {FORECASTS}, g as (select 'overall' grp, * from losses union all select 'vix_' || regime, * from losses union all select case when ev then 'earnings' else 'no_earnings' end, * from losses),
+ m as (select model, grp, sqrt(avg(se)) rmse, avg(ae) mae, avg(ql) qlike from g group by 1, 2)
+ """ + " union all ".join(f"select '{x}' figure, grp panel, model series, round({x}, 8) y, round(100 * ({x} - max(case when model = 'garch' then {x} end) over (partition by grp)) / max(case when model = 'garch' then {x} end) over (partition by grp), 6) + 0.0 change_percent from m" for x in _CHARTS))
+def chart_frames(spark: SparkSession, d: str) -> DataFrame:
+    """What the figures of metrics by group draw, one row per bar: figure, panel, series, height and change against the benchmark."""
+    m = ev.group_metrics(_losses(spark, d), regime="regime", event="has_earnings_forward_21d", entity="permno", day="dlycaldt")
+    bars = m.select("grp", "model", F.inline(F.array(*[F.struct(F.lit(x).alias("figure"), c(x).alias("y")) for x in _CHARTS])))
+    base = F.max(F.when(c("model") == "garch", c("y"))).over(Window.partitionBy("figure", "grp"))
+    return bars.select("figure", c("grp").alias("panel"), c("model").alias("series"), rounded(c("y")).alias("y"), rounded(100 * (c("y") - base) / base, 6).alias("change_percent"))
+
+
 @query()
 def report_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Hypothesis estimates with their intervals as text."""
@@ -644,6 +717,14 @@ def garch_filter_fixed_params(spark: SparkSession, d: str) -> DataFrame:
     return garch.garch_filter(rows).select("permno", "d", F.round(F.sqrt("sigma2"), 8).alias("sigma"), F.round("forecast", 8).alias("forecast"))
 
 
+@query(f"""with {PANEL}, y as (select permno, year(d)::int as year, r * 100 x from panel), k as (select distinct permno, year from y)
+ select k.permno, k.year, count(x) n, round(var_pop(x), 6) + 0.0 variance from k left join y on y.permno = k.permno and y.year < k.year group by 1, 2""")
+def garch_history(spark: SparkSession, d: str) -> DataFrame:
+    """What each year's fit may look back on: the number of returns and their population variance."""
+    rows = panel(spark, d).select(c("permno").alias("entity"), F.year("d").alias("year"), (c("r") * 100).alias("x"))
+    return garch.histories(rows).select(c("entity").alias("permno"), "year", "n", rounded(c("variance"), 6).alias("variance"))
+
+
 @query()
 def garch_fit(spark: SparkSession, d: str) -> DataFrame:
     """Annual expanding fits with their status."""

@@ -48,3 +48,27 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     system.delete(place, False)
     if not system.rename(part, place):
         raise OSError(f"{path} can't be written")
+
+
+def sha256(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a file, read as a stream."""
+    system, place = _at(spark, path)
+    stream = system.open(place)
+    try:
+        return spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
+
+
+def replace_folder(spark: SparkSession, written: str, path: str) -> None:
+    """Put the folder ``written`` in the place of ``path``; the old one goes only once the new one is whole."""
+    system, new = _at(spark, written)
+    _, place = _at(spark, path)
+    old = spark._jvm.org.apache.hadoop.fs.Path(path + ".old")
+    system.delete(old, True)
+    if system.exists(place) and not system.rename(place, old):
+        raise OSError(f"{path} can't be replaced")
+    if not system.rename(new, place):
+        system.rename(old, place)
+        raise OSError(f"{path} can't be written")
+    system.delete(old, True)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidepanel.sources import files
+
 
 def jdbc_scan(spark: SparkSession, url: str, query: str, *, user: str | None = None, properties: dict[str, str] | None = None, partition: tuple[str, int, int, int] | None = None) -> DataFrame:
     """A remote query as a DataFrame; ``partition`` (column, low, high, parts) reads it in parallel."""
@@ -30,9 +31,19 @@ def key_scan(df: DataFrame, keys: DataFrame, key: str, *, day: str | None = None
     return out.join(keys.select(key).distinct(), key, "left_semi")
 
 
+def renamed_scan(df: DataFrame, predicate: Column, names: dict[str, str]) -> DataFrame:
+    """The columns of ``names`` under their new names, of the rows that meet ``predicate``; both reach the scan."""
+    return df.filter(predicate).select(*[F.col(old).alias(new) for old, new in names.items()])
+
+
+def profiled_rows(df: DataFrame, order: Sequence[str], limit: int) -> DataFrame:
+    """The first ``limit`` rows in ``order`` for a profile that is meant to be bounded; the same on every run."""
+    return df.orderBy(*order).limit(limit)
+
+
 def optional_table(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, bool]:
     """The table at ``path`` and True, or an empty one of ``schema`` and False."""
-    if Path(path).exists():
+    if files.exists(spark, path):
         return spark.read.schema(schema).parquet(path), True
     return spark.createDataFrame([], schema), False
 
