@@ -214,6 +214,30 @@ def test_mix_reaches_the_weights(spark):
     assert spark.range(1).select(folded_name(F.lit("\t News_Digest "))).first()[0] == "news_digest"
 
 
+def test_mix_equals_a_plain_walk(spark):
+    """One prefix sum and one offset per source, walked document by document."""
+    from math import floor, log2
+
+    from tidepanel.llm import mixing
+
+    rnd = random.Random(5)
+    rows = [(i, "ab"[i % 3 == 0], rnd.choice([3, 7, 50, 51, 400])) for i in range(900)] + [(5, "b", 7)]
+    sizes = spark.createDataFrame(rows, "key long, source string, size long")
+    plan = mix_plan(sizes, spark.createDataFrame([("a", 0.7, 2), ("b", 0.3, 1)], "source string, target_weight double, max_repeats int"))
+    by = {r["source"]: r for r in plan.collect()}
+    hashed = sizes.withColumn("h", F.xxhash64(F.lit(11), "key")).withColumn("o", F.pmod(F.xxhash64(F.lit(11), "source"), F.lit(1 << 53)) / F.lit(float(1 << 53))).collect()
+    want = []
+    for s in "ab":
+        bins = -(-by[s]["documents"] // mixing.CELL_ROWS)
+        mine = sorted((floor(log2(r["size"]) * mixing.SIZE_BINS), r["h"] % bins, r["size"], r["h"], r["key"]) for r in hashed if r["source"] == s)
+        offset = next(r["o"] for r in hashed if r["source"] == s)
+        for k, m in enumerate(mine):
+            uses = floor((k + 1) * by[s]["copies"] + offset) - floor(k * by[s]["copies"] + offset)
+            if uses:
+                want.append((m[4], s, m[2], uses))
+    assert sorted(tuple(r) for r in mix_sources(sizes, plan, seed=11).collect()) == sorted(want)
+
+
 # ---- subjects
 
 WORDS = {

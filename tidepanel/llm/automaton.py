@@ -17,6 +17,7 @@ Decoding writes out the labels of the arcs.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 
 #: Where the vocabulary files of the public tokenizers lie.
 TOKENIZERS = "/opt/tokenizers"
-#: Words remembered by an encoder before it starts afresh.
-REMEMBERED = 400_000
+#: Words remembered by an encoder, and arcs by its automaton, before they start afresh.
+REMEMBERED, KNOWN_ARCS = 200_000, 1_000_000
+#: Bytes of a vocabulary file that may be sent to the tasks.
+VOCABULARY_BYTES = 64 << 20
 #: Fixed value: the pre-splitting pattern of byte-level BPE (published with the vocabulary).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -94,7 +97,7 @@ class MergeAutomaton:
                 s = self.origin[s]
             else:
                 t = self.left[t]
-        if len(self._arcs) > 4_000_000:
+        if len(self._arcs) >= KNOWN_ARCS:
             self._arcs.clear()
         self._arcs[key] = there
         return there
@@ -125,25 +128,34 @@ class MergeAutomaton:
 
 
 class Encoder:
-    """A public byte-level tokenizer: pre-splitting, automaton and remembered words."""
+    """A public byte-level tokenizer: pre-splitting, automaton and remembered words.
+
+    Beside the tables of the automaton (some 60 MB for 50,000 merges) it holds at most
+    KNOWN_ARCS arcs and REMEMBERED words of up to 64 characters, together below 250 MB.
+    """
 
     _loaded: dict[str, Encoder] = {}
 
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+    def __init__(self, vocabulary_file: str) -> None:
+        """``vocabulary_file``: the text of the tokenizer's file."""
+        model = json.loads(vocabulary_file)["model"]
         symbols, vocabulary = byte_symbols(), model["vocab"]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.automaton = MergeAutomaton({b: vocabulary[c] for c, b in symbols.items()}, [(vocabulary[a], vocabulary[b], vocabulary[a + b]) for a, b in pairs])
         self.words = regex.compile(WORDS)
         self.seen: dict[str, list[int]] = {}
 
+    @classmethod
+    def of(cls, name: str, vocabulary_file: str) -> Encoder:
+        """The encoder of a file, compiled once per process and ``name`` (a digest of it)."""
+        if name not in cls._loaded:
+            cls._loaded[name] = cls(vocabulary_file)
+        return cls._loaded[name]
+
     @classmethod
     def load(cls, path: str) -> Encoder:
-        """The encoder of ``path``, compiled once per process."""
-        if path not in cls._loaded:
-            cls._loaded[path] = cls(path)
-        return cls._loaded[path]
+        """The encoder of the file at ``path``."""
+        return cls.of(*vocabulary_text(path))
 
     def encode(self, text: str | None) -> list[int]:
         """The ids of ``text``; none for an empty and for a null text. Special tokens' names are ordinary text."""
@@ -164,6 +176,15 @@ class Encoder:
         return self.automaton.decode(ids).decode("utf-8", "replace")
 
 
+def vocabulary_text(path: str) -> tuple[str, str]:
+    """(digest, text) of a vocabulary file."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read(VOCABULARY_BYTES + 1)
+    if len(text) > VOCABULARY_BYTES:
+        raise ValueError(f"{path} is larger than {VOCABULARY_BYTES} characters")
+    return hashlib.sha256(text.encode("utf-8")).hexdigest(), text
+
+
 def tokenizer_path(name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> str:
     return f"{folder}/{name}.json"
 
@@ -173,16 +194,17 @@ def encode_corpus(documents: DataFrame, *, key: Column, text: Column, path: str
 
     ``group`` is a string that comes along (default null).
 
-    Each text is encoded whole, in one pass without shuffle. Null and empty texts
+    The vocabulary file is read by the driver only and sent to the tasks. Each text
+    is encoded whole, in one pass without shuffle. Null and empty texts
     give an empty list (0 tokens). Repeated rows are kept; other columns ignored.
     """
-    file = path or tokenizer_path()
+    sent = documents.sparkSession.sparkContext.broadcast(vocabulary_text(path or tokenizer_path()))
     rows = documents.select(key.cast("long").alias("key"), (F.lit(None) if group is None else group).cast("string").alias("group"), text.cast("string").alias("text"))
     kind = pa.int64() if count_only else pa.list_(pa.int32())
     name = "n_tokens" if count_only else "ids"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.load(file)
+        encoder = Encoder.of(*sent.value)
         for batch in batches:
             # small slices bound what a batch of long texts needs in memory
             for at in range(0, batch.num_rows, 500):

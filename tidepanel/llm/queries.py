@@ -118,6 +118,27 @@ _P3_STEP = """
  s{g} as (select * from s{p} union all select permno, dlycaldt, {g} from (select permno, dlycaldt, row_number() over (order by priority, permno, dlycaldt) r from k
    where {cut} and not exists (select 1 from s{p} where s{p}.permno = k.permno and s{p}.dlycaldt = k.dlycaldt)) where r <= (select need from t{g}))"""
 
+#: The population's members and counts per category, and the targets with the counts (y, r: category; s: share; f: minimum; a: members).
+_P6_POPULATION = """with recursive m as (select permno, dlycaldt, arg_max(lower(trim(vix_regime)), panel_id) vix_regime from final_panel
+   where lower(trim(vix_regime)) in ('low', 'middle', 'high') and permno is not null and dlycaldt is not null group by permno, dlycaldt),
+ n as (select count(*) // 20 n from m), h as (select year(dlycaldt) y, vix_regime r, count(*) a from m group by 1, 2),
+ t as (select panel_year y, lower(trim(t.vix_regime)) r, coalesce(target_share, 0) s, coalesce(min_rows, 0)::bigint f, coalesce(a, 0) a
+  from sample_targets t left join h on h.y = t.panel_year and h.r = lower(trim(t.vix_regime)))"""
+
+#: Largest remainders within floors and caps, in whole numbers: shares in parts of 10^12; each step fixes the categories beyond a bound.
+_P6 = _P6_POPULATION + """,
+ b as (select y, r, s, a, n, greatest(f, ceil(round(s * n, 9)))::bigint w, least(f, a)::hugeint lo, a::hugeint hi, round(s * 1e12)::hugeint p, row_number() over (order by y, r) i from t, n),
+ st as (select 0 step, i, p, lo, hi, n, case when hi = 0 then 0::hugeint end fixed from b
+  union all
+  select step + 1, i, p, lo, hi, n, case when fixed is not null then fixed when below >= above and part < lo * whole then lo when below < above and part > hi * whole then hi end
+  from (select *, sum(case when fixed is null then greatest(lo * whole - part, 0) else 0 end) over () below, sum(case when fixed is null then greatest(part - hi * whole, 0) else 0 end) over () above
+   from (select *, greatest(whole_p, 1) whole, greatest(rest, 0) * p part from (select *, sum(case when fixed is null then p else 0 end) over () whole_p, n - sum(coalesce(fixed, 0)) over () rest from st)))
+  where below > 0 or above > 0),
+ last as (select *, greatest(sum(case when fixed is null then p else 0 end) over (), 1) whole, greatest(n - sum(coalesce(fixed, 0)) over (), 0) * p part from st where step = (select max(step) from st)),
+ down as (select *, coalesce(fixed, part // whole) got, part % whole left_over from last),
+ more as (select *, n - sum(got) over () missing, row_number() over (partition by fixed is null order by left_over desc, i) k from down),
+ q as (select b.*, (got + case when fixed is null and k <= missing and got < more.hi then 1 else 0 end)::bigint quota from more join b using (i))"""
+
 SQL = {
     "p3_sample": f"""with k as (select permno, dlycaldt, min(loaded_at) arrived, md5('{SEED}|' || permno || '|' || dlycaldt) priority from final_panel where permno is not null and dlycaldt is not null group by permno, dlycaldt),
  s0 as (select permno, dlycaldt, 0 generation from k where false),"""
@@ -127,4 +148,8 @@ SQL = {
  n as (select count(distinct (permno, dlycaldt)) // 20 n from m), h as (select year(dlycaldt) y, vix_regime r, count(*) a from m group by 1, 2)
  select t.panel_year, lower(trim(t.vix_regime)) vix_regime from sample_targets t left join h on h.y = t.panel_year and h.r = lower(trim(t.vix_regime)), n
  where coalesce(a, 0) < greatest(min_rows, ceil(round(target_share * n, 9)))""",
+    "p6_quotas": _P6 + """ select y panel_year, r vix_regime, s target, a available, w wanted, quota, least(a, w) granted, a < w short, greatest(w - a, 0) shortfall from q""",
+    "p6_sample": _P6 + f""", ranked as (select permno, dlycaldt, year(dlycaldt) y, vix_regime r,
+   row_number() over (partition by year(dlycaldt), vix_regime order by md5('{SEED}|' || permno || '|' || dlycaldt), permno, dlycaldt) k from m)
+ select permno, dlycaldt, x.y::int panel_year, x.r vix_regime from ranked x join q on q.y = x.y and q.r = x.r where k <= quota""",
 }

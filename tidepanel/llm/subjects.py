@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.session import shared_folder, sized
+from tidepanel.session import shared_folder, sized, staged
+from tidepanel.sources.files import remove
 
 #: Hashed features; bounds the model whatever the vocabulary.
 FEATURES = 1 << 17
@@ -349,6 +350,9 @@ def assign_subjects(documents: DataFrame, labels: DataFrame, names: list[str], *
     curves = calibrate(shares, label_bits(known.column("mask").to_numpy(), len(names)))
     weights = complement_weights(counts)
     curve = F.array(*[F.struct(F.lit(n).alias("subject"), F.lit(a).alias("slope"), F.lit(b).alias("half")) for n, (a, b) in zip(names, curves, strict=True)])
-    each = subject_shares(parsed, weights).select("key", F.explode(F.arrays_zip(curve.alias("curve"), F.col("shares"))).alias("x"))
+    # the shares are staged, so that the parsed texts needn't outlive the call
+    shares_of_all = staged(subject_shares(parsed, weights))
+    remove(spark, folder)
+    each = shares_of_all.select("key", F.explode(F.arrays_zip(curve.alias("curve"), F.col("shares"))).alias("x"))
     posterior = 1 / (1 + F.exp(-F.col("x.curve.slope") * (F.col("x.shares") - F.col("x.curve.half"))))
     return each.select(F.col("key").alias(key), F.col("x.curve.subject").alias("subject"), F.col("x.shares").alias("share"), posterior.alias("posterior"))
