@@ -469,6 +469,30 @@ def test_hashes_count_repeats_and_writes_are_whole(spark, tmp_path):
     assert spark.read.parquet(path).count() == 1
 
 
+def test_remote_scan_pushes_columns_and_conditions(spark):
+    """Against the database that comes with Spark, in memory."""
+    url, driver = "jdbc:derby:memory:remote;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rows = [(i, i % 4, "NORM" if i % 3 else "OTHER", float(i)) for i in range(40)]
+    spark.createDataFrame(rows, "permno int, part int, mbrflg string, price double").write.format("jdbc").options(url=url, dbtable="prices", driver=driver, createTableColumnTypes="mbrflg varchar(8)").mode("overwrite").save()
+    whole = scans.jdbc_scan(spark, url, "select * from prices", properties={"driver": driver}, partition=("permno", 0, 40, 4))
+    good = scans.renamed_scan(whole, c("mbrflg") == "NORM", {"permno": "security"})
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    assert "mbrflg" in plan.lower() and "EqualTo(" in plan and "price" not in plan.split("ReadSchema")[-1].lower()
+    assert whole.rdd.getNumPartitions() == 4 and {r["security"] for r in good.collect()} == {i for i in range(40) if i % 3}
+    assert scans.jdbc_scan(spark, url, 'select "permno" from prices where "mbrflg" = \'OTHER\'', properties={"driver": driver}).count() == 14
+
+
+def test_small_tables_only_are_collected(spark):
+    from tidepanel.session import collected, sized
+
+    assert len(collected(spark.range(5), 5)) == 5
+    with pytest.raises(ValueError):
+        collected(spark.range(6), 5)
+    wide = spark.range(10).withColumn("s", F.repeat(F.lit("x"), 1000))
+    hint = lambda df: "hint" in df._jdf.queryExecution().logical().toString().lower()
+    assert hint(sized(wide)) and not hint(sized(wide, most=9_000)) and not hint(sized(wide, limit=9))
+
+
 def test_bounded_scans_and_guards(spark):
     df = spark.createDataFrame([(3, "x"), (1, "2"), (2, "2010-01-05")], "k long, s string")
     assert [r["k"] for r in scans.profiled_rows(df, ["k"], 2).collect()] == [1, 2]

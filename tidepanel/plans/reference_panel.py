@@ -7,13 +7,15 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidepanel.functions.columns import all_finite, close_to, day, estimate_text, number, qlike, regime, rounded
 from tidepanel.operators import evaluation as ev
 from tidepanel.operators import garch, guards, panels, ranking, temporal, timeseries
 from tidepanel.operators.references import padded_key
 from tidepanel.plans.base import FORECASTS, INDEX, MODELS, PANEL, VOL, c, forecasts, index_levels, panel, volatility
-from tidepanel.sources.scans import key_scan, literal_grid, profiled_rows, renamed_scan
+from tidepanel.session import staged
+from tidepanel.sources.scans import key_scan, literal_grid, optional_table, parameter_scan, profiled_rows, renamed_scan
 from tidepanel.sources.sinks import content_hash
 from tidepanel.sources.tables import table
 
@@ -152,6 +154,30 @@ def event_scan(spark: SparkSession, d: str) -> DataFrame:
     return renamed_scan(table(spark, d, "earnings_dates"), good, {"ticker": "ticker", "permno": "permno", "anndats": "announced", "pends": "period_end"})
 
 
+@query("select permno, universe_start, universe_end from universe where universe_start <= date '2015-06-30' and universe_end >= date '2010-01-01' and permno % 2 = 0")
+def bound_parameters(spark: SparkSession, d: str) -> DataFrame:
+    """A query with bound parameters and an order."""
+    sql = "select permno, universe_start, universe_end from {spells} where universe_start <= :last and universe_end >= :first and permno % :parity = 0 order by permno, universe_start"
+    return parameter_scan(spark, sql, {"spells": table(spark, d, "universe")}, first=date(2010, 1, 1), last=date(2015, 6, 30), parity=2)
+
+
+@query("select 'company' source, true there, count(*) as rows from company union all select 'delisting_notices', false, 0")
+def optional_sources(spark: SparkSession, d: str) -> DataFrame:
+    """A source that is there and one that isn't, both reported."""
+    parts = []
+    for name in ("company", "delisting_notices"):
+        rows, there = optional_table(spark, f"{d}/{name}.parquet", StructType([StructField("gvkey", StringType())]))
+        parts.append(rows.agg(F.lit(name).alias("source"), F.lit(there).alias("there"), F.count("*").alias("rows")))
+    return parts[0].unionByName(parts[1])
+
+
+@query("select event_id, json_extract_string(props, '$.k') k, to_json({'event_id': event_id, 'event_type': event_type}) as record from events")
+def json_fields(spark: SparkSession, d: str) -> DataFrame:
+    """A field read out of JSON text, and rows written as JSON."""
+    rows = table(spark, d, "events").select("event_id", "event_type", "props")
+    return rows.select("event_id", F.from_json("props", "k string")["k"].alias("k"), F.to_json(F.struct("event_id", "event_type")).alias("record"))
+
+
 @query("select dlyprcflg, count(*) n, count(dlyret) returns, count(dlyprc) prices from (select * from daily_prices order by row_id limit 500000) group by 1")
 def profiling_scan(spark: SparkSession, d: str) -> DataFrame:
     """A profile of the first 500,000 deliveries; the bound is the feature, ``null_profile`` reads all."""
@@ -739,6 +765,8 @@ def garch_status(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def garch_forecast(spark: SparkSession, d: str) -> DataFrame:
-    """Forecasts with the parameters fitted to the years before."""
+    """Forecasts with the parameters fitted to the years before, which are checked."""
     rows = panel(spark, d)
-    return garch.garch_forecasts(rows, garch.garch_parameters(rows)).filter("forecast is not null")
+    parameters = staged(garch.garch_parameters(rows))
+    guards.require(parameters, {"bad_parameters": guards.bad_parameters()}, "GARCH parameters")
+    return garch.garch_forecasts(rows, parameters).filter("forecast is not null")

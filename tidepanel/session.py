@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes up to which a measured side of a join may be broadcast.
@@ -70,3 +70,11 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTE
     width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in small.columns), F.lit(8 * len(small.columns)))
     rows, size = small.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
     return F.broadcast(small) if rows <= limit and size <= most else small
+
+
+def collected(df: DataFrame, limit: int = BROADCAST_ROWS) -> list[Row]:
+    """The rows of a table that is meant to be small, on the driver; fails if it has more than ``limit``."""
+    rows = df.take(limit + 1)
+    if len(rows) > limit:
+        raise ValueError(f"a table of at most {limit} rows was expected")
+    return rows

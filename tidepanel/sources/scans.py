@@ -20,9 +20,9 @@ def jdbc_scan(spark: SparkSession, url: str, query: str, *, user: str | None = N
     return reader.options(dbtable=f"({query}) t", partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=parts).load()
 
 
-def parameter_scan(spark: SparkSession, sql: str, **values: object) -> DataFrame:
-    """A query with named parameters, bound by Spark rather than spliced into the text."""
-    return spark.sql(sql, args=values)
+def parameter_scan(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None = None, **values: object) -> DataFrame:
+    """A query with named parameters (``:name``), bound by Spark rather than spliced into the text; ``{name}`` is a table of ``tables``."""
+    return spark.sql(sql, args=values, **(tables or {}))
 
 
 def key_scan(df: DataFrame, keys: DataFrame, key: str, *, day: str | None = None, first: str | None = None, last: str | None = None) -> DataFrame:
