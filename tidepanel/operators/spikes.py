@@ -248,7 +248,11 @@ def flag_spikes(readings: DataFrame, rule: SpikeRule, *, source: Column, time: C
     observed = rows.select("source", "day", "value", "order", size.alias("size"), F.lit(0).alias("mark"))
     if marks is not None:
         none = F.lit(None).cast("double")
-        observed = observed.unionByName(marks.select(F.col("source").cast("long").alias("source"), F.datediff(F.col("day").cast("date"), F.lit("1970-01-01").cast("date")).alias("day"), none.alias("value"), F.lit(None).cast("long").alias("order"), none.alias("size"), F.lit(1).alias("mark")).filter("source is not null and day is not null"))
+        marked = marks.select(
+            F.col("source").cast("long").alias("source"), F.datediff(F.col("day").cast("date"), F.lit("1970-01-01").cast("date")).alias("day"),
+            none.alias("value"), F.lit(None).cast("long").alias("order"), none.alias("size"), F.lit(1).alias("mark"),
+        ).filter("source is not null and day is not null")
+        observed = observed.unionByName(marked)
     folded = observed.groupBy("source", "day").agg(
         F.min_by("value", "order").alias("first"), F.max_by("value", "order").alias("last"),
         F.min("size").alias("low"), F.max("size").alias("high"), F.max("mark").alias("marked"), F.min("order").alias("head"),

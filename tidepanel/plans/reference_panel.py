@@ -69,7 +69,21 @@ def mean_abs_return(spark: SparkSession, d: str) -> DataFrame:
     return out.select("permno", "d", *_r(*[f"mean_abs_return_{k}d" for k in timeseries.ABS_ROWS]))
 
 
-@query(f"with {PANEL}, a as (select permno, d, r, case when r > -1 then ln(1 + r) end x from panel) select permno, d, " + ", ".join(f"round(case when count(*) over w{k} = {k} and bool_or(coalesce(r = -1, false)) over w{k} then -1 when count(x) over w{k} = {k} then exp(sum(x) over w{k}) - 1 end, 8) + 0.0 compounded_return_{k}d" for k in timeseries.COMPOUND_ROWS) + " from a window " + ", ".join(f"w{k} as (partition by permno order by d rows between {k - 1} preceding and current row)" for k in timeseries.COMPOUND_ROWS))
+def _compounded(k: int) -> str:
+    return f"""round(case when count(*) over w{k} = {k} and bool_or(coalesce(r = -1, false)) over w{k} then -1
+  when count(x) over w{k} = {k} then exp(sum(x) over w{k}) - 1 end, 8) + 0.0 compounded_return_{k}d"""
+
+
+def _named_frame(k: int) -> str:
+    return f"w{k} as (partition by permno order by d rows between {k - 1} preceding and current row)"
+
+
+@query(
+    f"with {PANEL}, a as (select permno, d, r, case when r > -1 then ln(1 + r) end x from panel) select permno, d, "
+    + ", ".join(_compounded(k) for k in timeseries.COMPOUND_ROWS)
+    + " from a window "
+    + ", ".join(_named_frame(k) for k in timeseries.COMPOUND_ROWS)
+)
 def compounded_return(spark: SparkSession, d: str) -> DataFrame:
     """trailing compounded returns."""
     out = timeseries.return_features(panel(spark, d), std=(), mean_abs=())
@@ -92,7 +106,8 @@ def forward_target(spark: SparkSession, d: str) -> DataFrame:
     return timeseries.forward_target(volatility(spark, d), value="vol").select("permno", "d", *_r("target_forward"), "target_end_date")
 
 
-@query(f"with {VOL} select year(d)::int as year, count(*) n, round(sqrt(avg((target - vol) ** 2)), 8) rmse, round(avg(abs(target - vol)), 8) mae, round(avg(target ** 2 / vol ** 2 - ln(target ** 2 / vol ** 2) - 1), 8) qlike from targets where target > 0 and vol > 0 group by 1")
+@query(f"""with {VOL} select year(d)::int as year, count(*) n, round(sqrt(avg((target - vol) ** 2)), 8) rmse, round(avg(abs(target - vol)), 8) mae,
+ round(avg(target ** 2 / vol ** 2 - ln(target ** 2 / vol ** 2) - 1), 8) qlike from targets where target > 0 and vol > 0 group by 1""")
 def persistence_metrics_by_year(spark: SparkSession, d: str) -> DataFrame:
     """Losses of the persistence forecast per year."""
     rows = timeseries.forward_target(volatility(spark, d), value="vol").filter("target_forward > 0 and vol > 0")
@@ -147,7 +162,8 @@ def aliased_links(spark: SparkSession, d: str) -> DataFrame:
     return renamed_scan(table(spark, d, "link_history"), c("linkprim").isin("P", "C") & c("permno").isNotNull(), {"gvkey": "company", "permno": "security", "linkdt": "sdate", "linkenddt": "edate"})
 
 
-@query("select ticker, permno, anndats announced, pends period_end from earnings_dates where ticker is not null and pends is not null and anndats between date '2005-01-01' and date '2024-12-31' and pends <= anndats")
+@query("""select ticker, permno, anndats announced, pends period_end from earnings_dates
+ where ticker is not null and pends is not null and anndats between date '2005-01-01' and date '2024-12-31' and pends <= anndats""")
 def event_scan(spark: SparkSession, d: str) -> DataFrame:
     """A5: events that meet several conditions at once, all pushed to the scan."""
     good = c("ticker").isNotNull() & c("pends").isNotNull() & c("anndats").between(F.lit("2005-01-01").cast("date"), F.lit("2024-12-31").cast("date")) & (c("pends") <= c("anndats"))
@@ -195,7 +211,7 @@ def literal_origins(spark: SparkSession, d: str) -> DataFrame:
     return grid.join(rows, ["permno", "d"], "left").select("permno", "d", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("select panel_id, try_cast(trim(gvkey) as double) company_number, try_cast(vix_regime as double) regime_number, try_cast(cast(target_end_date as varchar) as date) end_day, try_cast(trim(gvkey) || 'x' as date) no_day from final_panel")
+@query("""select panel_id, try_cast(trim(gvkey) as double) company_number, try_cast(vix_regime as double) regime_number, try_cast(cast(target_end_date as varchar) as date) end_day, try_cast(trim(gvkey) || 'x' as date) no_day from final_panel""")
 def coerced_values(spark: SparkSession, d: str) -> DataFrame:
     """Text read as numbers and dates, null where it is neither."""
     rows = table(spark, d, "final_panel")
@@ -212,7 +228,7 @@ def distinct_names(spark: SparkSession, d: str) -> DataFrame:
 _FIRST, _LAST = "2005-01-01", "2024-12-31"
 
 
-@query(f"select permno, greatest(universe_start, date '{_FIRST}') universe_start, least(coalesce(universe_end, date '9999-12-31'), date '{_LAST}') universe_end from universe where universe_start <= date '{_LAST}' and coalesce(universe_end, date '9999-12-31') >= date '{_FIRST}'")
+@query(f"""select permno, greatest(universe_start, date '{_FIRST}') universe_start, least(coalesce(universe_end, date '9999-12-31'), date '{_LAST}') universe_end from universe where universe_start <= date '{_LAST}' and coalesce(universe_end, date '9999-12-31') >= date '{_FIRST}'""")
 def universe_clip(spark: SparkSession, d: str) -> DataFrame:
     """Spells that meet a sample period, cut to it."""
     return temporal.clipped(table(spark, d, "universe"), "universe_start", "universe_end", _FIRST, _LAST).select("permno", "universe_start", "universe_end")
@@ -236,7 +252,9 @@ def validity_join(spark: SparkSession, d: str) -> DataFrame:
     return temporal.validity_join(rows, links, on="permno", day="dlycaldt", take=["linked"]).select("row_id", "dlycaldt", "linked")
 
 
-@query(f"with {_GOOD}, f as (select panel_id, dlycaldt, case when regexp_full_match(trim(gvkey), '[0-9]{{1,6}}') then lpad(trim(gvkey), 6, '0') else trim(gvkey) end k from final_panel) select f.panel_id, g.permno linked from f join g on g.gvkey = f.k and f.dlycaldt between g.linkdt and g.linkenddt")
+@query(f"""with {_GOOD}, f as (select panel_id, dlycaldt, case
+ when regexp_full_match(trim(gvkey), '[0-9]{{1,6}}') then lpad(trim(gvkey), 6, '0') else trim(gvkey) end k from final_panel)
+ select f.panel_id, g.permno linked from f join g on g.gvkey = f.k and f.dlycaldt between g.linkdt and g.linkenddt""")
 def validity_join_by_name(spark: SparkSession, d: str) -> DataFrame:
     """The same by another key, which returns the security."""
     links = good_links(spark, d).withColumnRenamed("permno", "linked")
@@ -244,7 +262,8 @@ def validity_join_by_name(spark: SparkSession, d: str) -> DataFrame:
     return temporal.validity_join(rows, links, on="gvkey", day="dlycaldt", take=["linked"]).select("panel_id", "linked")
 
 
-@query(f"with {_GOOD} select distinct permno, dlycaldt from daily_prices p where permno is not null and dlycaldt is not null and not exists (select 1 from g where g.permno = p.permno and p.dlycaldt between g.linkdt and g.linkenddt)")
+@query(f"""with {_GOOD} select distinct permno, dlycaldt from daily_prices p where permno is not null and dlycaldt is not null and not exists (select 1
+ from g where g.permno = p.permno and p.dlycaldt between g.linkdt and g.linkenddt)""")
 def unmatched_links(spark: SparkSession, d: str) -> DataFrame:
     """Keys without any valid link."""
     rows = table(spark, d, "daily_prices").select("permno", "dlycaldt").dropna()
@@ -252,7 +271,8 @@ def unmatched_links(spark: SparkSession, d: str) -> DataFrame:
     return temporal.unmatched_keys(rows, temporal.validity_join(rows.distinct(), links, on="permno", day="dlycaldt", take=[]), ["permno", "dlycaldt"])
 
 
-@query(f"with {_GOOD} select permno, dlycaldt, count(*) n from daily_prices p join g using (permno) where dlycaldt between linkdt and linkenddt group by 1, 2 having count(*) > 1")
+@query(f"""with {_GOOD} select permno, dlycaldt, count(*) n from daily_prices p join g using (permno) where dlycaldt between linkdt and linkenddt
+ group by 1, 2 having count(*) > 1""")
 def overlapping_links(spark: SparkSession, d: str) -> DataFrame:
     """Keys that more than one row or link matches."""
     joined = temporal.validity_join(table(spark, d, "daily_prices").select("permno", "dlycaldt"), good_links(spark, d), on="permno", day="dlycaldt", take=[])
@@ -274,7 +294,8 @@ def event_dedup_count(spark: SparkSession, d: str) -> DataFrame:
     return rows.agg(F.count("*").alias("rows"), (F.count("*") - F.countDistinct("permno", "anndats")).alias("removed"))
 
 
-@query("select permno, ticker, pends, anndats from (select *, row_number() over (partition by ticker, pends order by anndats, permno) k from (select distinct * from earnings_dates where ticker is not null and pends is not null)) where k = 1")
+@query("""select permno, ticker, pends, anndats from (select *, row_number() over (partition by ticker, pends order by anndats, permno) k
+ from (select distinct * from earnings_dates where ticker is not null and pends is not null)) where k = 1""")
 def dedup_keep_first(spark: SparkSession, d: str) -> DataFrame:
     """Exact repeats go, then the earliest announcement per name and period stays."""
     rows = table(spark, d, "earnings_dates").dropna(subset=["ticker", "pends"]).distinct()
@@ -307,13 +328,22 @@ def index_guard(spark: SparkSession, d: str) -> DataFrame:
 def guard_report(spark: SparkSession, d: str) -> DataFrame:
     """Violations of the guards, one column each."""
     prices, spells, final = (table(spark, d, t) for t in ("daily_prices", "universe", "final_panel"))
+    one = F.lit(1).alias("_one")
+    before = prices.agg(F.count("*").alias("before"), one)
+    after = temporal.membership_flag(prices.select("permno", "dlycaldt"), spells).agg(F.count("*").alias("after"), one)
     parts = [
         guards.violations(spells, {"bad_spells": guards.bad_interval("universe_start", "universe_end")}),
         guards.violations(prices, {"bad_returns": guards.bad_return("dlyret")}),
         guards.duplicate_keys(prices, ["permno", "dlycaldt"]).agg(F.coalesce(F.sum(c("n") - 1), F.lit(0)).alias("repeated_keys")),
         prices.select("permno").dropna().distinct().join(spells.select("permno"), "permno", "left_anti").agg(F.count("*").alias("unknown_entities")),
-        guards.violations(final, {"bad_windows": guards.bad_window("dlycaldt", "target_end_date"), "bad_regimes": guards.outside_domain("vix_regime", ["low", "middle", "high"]), "bad_targets": guards.bad_target("target_forward_21d"), "bad_forecasts": guards.bad_forecasts(list(MODELS.values())), "bad_event_flags": guards.inconsistent_flag("has_earnings_forward_21d", c("earnings_count_forward_21d") > 0)}),
-        temporal.membership_flag(prices.select("permno", "dlycaldt"), spells).agg(F.count("*").alias("after")).withColumn("_one", F.lit(1)).join(prices.agg(F.count("*").alias("before")).withColumn("_one", F.lit(1)), "_one").select((c("after") - c("before")).alias("rows_added_by_membership")),
+        guards.violations(final, {
+            "bad_windows": guards.bad_window("dlycaldt", "target_end_date"),
+            "bad_regimes": guards.outside_domain("vix_regime", ["low", "middle", "high"]),
+            "bad_targets": guards.bad_target("target_forward_21d"),
+            "bad_forecasts": guards.bad_forecasts(list(MODELS.values())),
+            "bad_event_flags": guards.inconsistent_flag("has_earnings_forward_21d", c("earnings_count_forward_21d") > 0),
+        }),
+        after.join(before, "_one").select((c("after") - c("before")).alias("rows_added_by_membership")),
     ]
     out = parts[0].withColumn("_one", F.lit(1))
     for p in parts[1:]:
@@ -323,7 +353,8 @@ def guard_report(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- regimes, populations
 
-@query(f"with {INDEX} select round(quantile_cont(v, 1/3), 8) low, round(quantile_cont(v, 2/3), 8) high from idx where d >= date '2005-01-01' and d < date '{HISTORY_END}'")
+@query(f"""with {INDEX} select round(quantile_cont(v, 1/3), 8) low, round(quantile_cont(v, 2/3), 8) high from idx
+ where d >= date '2005-01-01' and d < date '{HISTORY_END}'""")
 def regime_thresholds(spark: SparkSession, d: str) -> DataFrame:
     """Exact thirds of the index over the history."""
     return _thresholds(spark, d).select(*_r("low", "high"))
@@ -334,7 +365,9 @@ def _thresholds(spark: SparkSession, d: str) -> DataFrame:
     return history.agg(F.percentile("v", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q")).select(c("q")[0].alias("low"), c("q")[1].alias("high"))
 
 
-@query(f"with {INDEX}, t as (select quantile_cont(v, 1/3) low, quantile_cont(v, 2/3) high from idx where d >= date '2005-01-01' and d < date '{HISTORY_END}') select d, v, case when v <= low then 'low' when v >= high then 'high' when v is not null then 'middle' end regime from idx, t")
+@query(f"""with {INDEX}, t as (select quantile_cont(v, 1/3) low, quantile_cont(v, 2/3) high from idx
+ where d >= date '2005-01-01' and d < date '{HISTORY_END}') select d, v, case when v <= low then 'low' when v >= high then 'high'
+ when v is not null then 'middle' end regime from idx, t""")
 def regime_assign(spark: SparkSession, d: str) -> DataFrame:
     """The regime of each date from the locked thresholds."""
     low, high = _thresholds(spark, d).first()
@@ -351,7 +384,8 @@ def _own_forecasts(spark: SparkSession, d: str) -> DataFrame:
 _OWN = f"{VOL}, {FORECASTS}, own as (select permno, d dlycaldt, target, vol persistence from targets where target is not null and vol is not null)"
 
 
-@query(f"with {_OWN} select permno, dlycaldt, round(target, 8) target, round(persistence, 8) persistence, forecast_garch, forecast_xgboost from own join fc using (permno, dlycaldt)")
+@query(f"""with {_OWN} select permno, dlycaldt, round(target, 8) target, round(persistence, 8) persistence, forecast_garch, forecast_xgboost from own
+ join fc using (permno, dlycaldt)""")
 def forecast_common_panel(spark: SparkSession, d: str) -> DataFrame:
     """Persistence computed from the prices joined one to one with two forecasts of the final panel, complete cases."""
     rows = forecasts(spark, d)
@@ -383,7 +417,8 @@ def dimension_join(spark: SparkSession, d: str) -> DataFrame:
     return panels.many_to_one(forecasts(spark, d).select("permno", "dlycaldt"), index_levels(spark, d).withColumnRenamed("d", "dlycaldt"), ["dlycaldt"])
 
 
-@query(f"with {_OWN} select permno, dlycaldt, abs(persistence - forecast_naive) <= 1e-10 + 1e-6 * abs(forecast_naive) close_enough from own join fc using (permno, dlycaldt)")
+@query(f"""with {_OWN} select permno, dlycaldt, abs(persistence - forecast_naive) <= 1e-10 + 1e-6 * abs(forecast_naive) close_enough from own
+ join fc using (permno, dlycaldt)""")
 def approximate_equality(spark: SparkSession, d: str) -> DataFrame:
     """The persistence forecast computed again beside the stored one, within the tolerances of a frozen forecast."""
     both = panels.one_to_one(_own_forecasts(spark, d), forecasts(spark, d), ["permno", "dlycaldt"])
@@ -407,7 +442,9 @@ def losses_by_group(spark: SparkSession, d: str) -> DataFrame:
     return out.select("model", "grp", "n", *_r("rmse", "mae", "qlike"), "dates", "entities")
 
 
-@query(f"with {FORECASTS}, days as (select distinct dlycaldt d from fc), x as (select model, dlycaldt d, sum(ql) s, count(*) n from losses where regime = 'high' group by 1, 2), m as (select distinct model from losses) select m.model, days.d, round(s, 8) s, coalesce(n, 0) n, round(s / n, 8) mean from days cross join m left join x on x.d = days.d and x.model = m.model")
+@query(f"""with {FORECASTS}, days as (select distinct dlycaldt d from fc), x as (select model, dlycaldt d, sum(ql) s, count(*) n from losses
+ where regime = 'high' group by 1, 2), m as (select distinct model from losses) select m.model, days.d, round(s, 8) s, coalesce(n, 0) n,
+ round(s / n, 8) mean from days cross join m left join x on x.d = days.d and x.model = m.model""")
 def daily_loss_mean(spark: SparkSession, d: str) -> DataFrame:
     """Sums, counts and means per date under a mask, over all dates of the panel."""
     high = F.when(c("regime") == "high", c("qlike"))
@@ -500,7 +537,9 @@ def hypothesis_decisions(spark: SparkSession, d: str) -> DataFrame:
     return tested.select("hypothesis", "comparison", "estimate", "ci_lower", "ci_upper", "holds", status.alias("status"))
 
 
-@query(f"with {FORECASTS}, q as (select model, avg(ql) q from losses where ev group by 1) select model, round(q, 8) qlike, row_number() over (order by q, model) rank, round(100 * (q - (select q from q where model = 'naive')) / (select q from q where model = 'naive'), 6) + 0.0 change_percent from q")
+@query(f"""with {FORECASTS}, q as (select model, avg(ql) q from losses where ev group by 1) select model,
+ round(q, 8) qlike, row_number() over (order by q, model) rank, round(100 * (q - (select q from q where model = 'naive')) / (select q from q
+ where model = 'naive'), 6) + 0.0 change_percent from q""")
 def model_ranking(spark: SparkSession, d: str) -> DataFrame:
     """Models by loss on event rows, and their change against persistence."""
     q = _losses(spark, d).filter("has_earnings_forward_21d").groupBy("model").agg(F.avg("qlike").alias("q"))
@@ -518,7 +557,8 @@ def argmin_candidate(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- report tables
 
-@query(f"with {FORECASTS} select count(*) as rows, count(distinct permno) entities, count(distinct dlycaldt) dates, min(dlycaldt) first_origin, max(dlycaldt) last_origin from fc")
+@query(f"""with {FORECASTS} select count(*) as rows, count(distinct permno) entities,
+ count(distinct dlycaldt) dates, min(dlycaldt) first_origin, max(dlycaldt) last_origin from fc""")
 def report_sample(spark: SparkSession, d: str) -> DataFrame:
     """Size and period of the evaluation sample."""
     return forecasts(spark, d).agg(F.count("*").alias("rows"), F.countDistinct("permno").alias("entities"), F.countDistinct("dlycaldt").alias("dates"), F.min("dlycaldt").alias("first_origin"), F.max("dlycaldt").alias("last_origin"))
@@ -544,9 +584,14 @@ def report_regimes(spark: SparkSession, d: str) -> DataFrame:
 _CHARTS = ("rmse", "mae", "qlike")
 
 
+def _bars(x: str) -> str:
+    base = f"max(case when model = 'garch' then {x} end) over (partition by grp)"
+    return f"select '{x}' figure, grp panel, model series, round({x}, 8) y, round(100 * ({x} - {base}) / {base}, 6) + 0.0 change_percent from m"
+
+
 @query(f"""with {FORECASTS}, g as (select 'overall' grp, * from losses union all select 'vix_' || regime, * from losses union all select case when ev then 'earnings' else 'no_earnings' end, * from losses),
  m as (select model, grp, sqrt(avg(se)) rmse, avg(ae) mae, avg(ql) qlike from g group by 1, 2)
- """ + " union all ".join(f"select '{x}' figure, grp panel, model series, round({x}, 8) y, round(100 * ({x} - max(case when model = 'garch' then {x} end) over (partition by grp)) / max(case when model = 'garch' then {x} end) over (partition by grp), 6) + 0.0 change_percent from m" for x in _CHARTS))
+ """ + " union all ".join(_bars(x) for x in _CHARTS))
 def chart_frames(spark: SparkSession, d: str) -> DataFrame:
     """What the figures of metrics by group draw, one row per bar: figure, panel, series, height and change against the benchmark."""
     m = ev.group_metrics(_losses(spark, d), regime="regime", event="has_earnings_forward_21d", entity="permno", day="dlycaldt")
@@ -561,7 +606,8 @@ def report_intervals(spark: SparkSession, d: str) -> DataFrame:
     return hypothesis_decisions(spark, d).select("hypothesis", "comparison", estimate_text(c("estimate"), c("ci_lower"), c("ci_upper"), 5).alias("interval"), "holds", "status")
 
 
-@query("select panel_id, permno, dlycaldt, forecast_garch from final_panel where forecast_garch > 0.08 and not isnan(forecast_garch) order by forecast_garch desc, panel_id limit 20")
+@query("""select panel_id, permno, dlycaldt, forecast_garch from final_panel where forecast_garch > 0.08 and not isnan(forecast_garch)
+ order by forecast_garch desc, panel_id limit 20""")
 def absurd_forecasts(spark: SparkSession, d: str) -> DataFrame:
     """The twenty greatest forecasts beyond a bound."""
     rows = table(spark, d, "final_panel").filter((c("forecast_garch") > 0.08) & ~F.isnan("forecast_garch"))
@@ -570,7 +616,9 @@ def absurd_forecasts(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- profiles
 
-@query(f"with {VOL} select count(vol) n, round(avg(vol), 8) mean, round(stddev_samp(vol), 8) std, round(min(vol), 8) \"min\", round(quantile_cont(vol, 0.25), 8) q25, round(quantile_cont(vol, 0.5), 8) q50, round(quantile_cont(vol, 0.75), 8) q75, round(max(vol), 8) \"max\" from vols")
+@query(f"""with {VOL} select count(vol) n, round(avg(vol), 8) mean, round(stddev_samp(vol), 8) std, round(min(vol), 8) "min",
+ round(quantile_cont(vol, 0.25), 8) q25, round(quantile_cont(vol, 0.5), 8) q50, round(quantile_cont(vol, 0.75), 8) q75, round(max(vol), 8) "max"
+ from vols""")
 def describe_vol(spark: SparkSession, d: str) -> DataFrame:
     """Count, mean, deviation and exact quartiles."""
     q = F.percentile("vol", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
@@ -593,7 +641,8 @@ def value_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "daily_prices").groupBy("dlyprcflg", "dlyretmissflg", "dlydelflg").agg(F.count("*").alias("n"))
 
 
-@query("select x.regime, coalesce(n, 0) n from (values ('low'), ('middle'), ('high'), ('unknown')) x(regime) left join (select vix_regime regime, count(*) n from final_panel group by 1) y on y.regime = x.regime")
+@query("""select x.regime, coalesce(n, 0) n from (values ('low'), ('middle'), ('high'), ('unknown')) x(regime) left join (select vix_regime regime,
+ count(*) n from final_panel group by 1) y on y.regime = x.regime""")
 def value_counts_domain(spark: SparkSession, d: str) -> DataFrame:
     """Counts over a fixed domain, 0 where there are none."""
     domain = spark.createDataFrame([(x,) for x in ("low", "middle", "high", "unknown")], "regime string")
@@ -601,20 +650,24 @@ def value_counts_domain(spark: SparkSession, d: str) -> DataFrame:
     return domain.join(counts, "regime", "left").select("regime", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query(f"with {FORECASTS} select year(dlycaldt)::int as year, count(*) filter (where regime = 'low') low, count(*) filter (where regime = 'middle') middle, count(*) filter (where regime = 'high') high from fc group by 1")
+@query(f"""with {FORECASTS} select year(dlycaldt)::int as year, count(*) filter (where regime = 'low') low,
+ count(*) filter (where regime = 'middle') middle, count(*) filter (where regime = 'high') high from fc group by 1""")
 def regime_year_pivot(spark: SparkSession, d: str) -> DataFrame:
     """Rows per year and regime as a table, 0 where there are none."""
     return forecasts(spark, d).groupBy(F.year("dlycaldt").alias("year")).pivot("regime", ["low", "middle", "high"]).count().na.fill(0)
 
 
-@query(f"with {FORECASTS} select dlycaldt d, min(regime) regime, count(distinct regime) regimes, dense_rank() over (order by dlycaldt) - 1 code from fc group by dlycaldt")
+@query(f"""with {FORECASTS} select dlycaldt d, min(regime) regime, count(distinct regime) regimes, dense_rank() over (order by dlycaldt) - 1 code
+ from fc group by dlycaldt""")
 def date_dictionary(spark: SparkSession, d: str) -> DataFrame:
     """Dense codes of the dates and their regime, with the uniqueness check."""
     days = forecasts(spark, d).groupBy(c("dlycaldt").alias("d")).agg(F.min("regime").alias("regime"), F.countDistinct("regime").alias("regimes"))
     return days.withColumn("code", (F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy("d")) - 1).cast("long"))
 
 
-@query(f"with {VOL}, x as (select d, avg(vol) m from vols group by d) select round(max(m), 8) peak, round(avg(m) filter (where d between date '2008-09-01' and date '2009-06-30'), 8) crisis, round(avg(m) filter (where d < date '2008-09-01'), 8) calm from x")
+@query(f"""with {VOL}, x as (select d, avg(vol) m from vols group by d) select round(max(m), 8) peak,
+ round(avg(m) filter (where d between date '2008-09-01' and date '2009-06-30'), 8) crisis,
+ round(avg(m) filter (where d < date '2008-09-01'), 8) calm from x""")
 def crisis_profile(spark: SparkSession, d: str) -> DataFrame:
     """Peak of the cross-sectional mean and means of two periods."""
     daily = volatility(spark, d).groupBy("d").agg(F.avg("vol").alias("m"))
@@ -660,14 +713,21 @@ def largest_remainder_allocation(spark: SparkSession, d: str) -> DataFrame:
     return _strata(spark, d)[1].select("year", "regime", "size", "allocation")
 
 
-@query(f"with {_ALLOCATED}, r as (select permno, dlycaldt, year(dlycaldt)::int as year, regime, row_number() over (partition by year(dlycaldt), regime order by md5('42|' || permno || '|' || dlycaldt), permno, dlycaldt) k from fc) select permno, dlycaldt, r.year, r.regime from r join al on al.year = r.year and al.regime = r.regime where k <= allocation")
+@query(f"""with {_ALLOCATED}, r
+ as (select permno, dlycaldt, year(dlycaldt)::int as year, regime, row_number() over (partition by year(dlycaldt), regime
+ order by md5('42|' || permno || '|' || dlycaldt), permno, dlycaldt) k from fc) select permno, dlycaldt, r.year, r.regime from r
+ join al on al.year = r.year and al.regime = r.regime where k <= allocation""")
 def stratified_sample_md5(spark: SparkSession, d: str) -> DataFrame:
     """A stratified sample that doesn't depend on the order of the input."""
     rows, allocation = _strata(spark, d)
     return ranking.stratified_sample(rows, allocation, strata=["year", "regime"], key=["permno", "dlycaldt"], seed=42)
 
 
-@query(f"with {_ALLOCATED}, r as (select permno, dlycaldt, year(dlycaldt)::int as year, regime, row_number() over (partition by year(dlycaldt), regime order by md5('42|' || permno || '|' || dlycaldt), permno, dlycaldt) k from fc), s as (select permno, dlycaldt, r.regime from r join al on al.year = r.year and al.regime = r.regime where k <= allocation) select sha256(string_agg(permno || '|' || dlycaldt || '|' || regime || chr(10), '' order by permno, dlycaldt)) digest, count(*) n from s")
+@query(f"""with {_ALLOCATED}, r
+ as (select permno, dlycaldt, year(dlycaldt)::int as year, regime, row_number() over (partition by year(dlycaldt), regime
+ order by md5('42|' || permno || '|' || dlycaldt), permno, dlycaldt) k from fc), s as (select permno, dlycaldt, r.regime from r
+ join al on al.year = r.year and al.regime = r.regime where k <= allocation)
+ select sha256(string_agg(permno || '|' || dlycaldt || '|' || regime || chr(10), '' order by permno, dlycaldt)) digest, count(*) n from s""")
 def sample_key_hash(spark: SparkSession, d: str) -> DataFrame:
     """The hash that locks a sample."""
     return ranking.sample_digest(stratified_sample_md5(spark, d), key=["permno", "dlycaldt"], line=["permno", "dlycaldt", "regime"])
@@ -680,7 +740,8 @@ def _values(spark: SparkSession, d: str) -> DataFrame:
 _VALUES = f"{FORECASTS}, vals as (" + " union all ".join(f"select year(dlycaldt)::int as year, '{m}' feature, {f} - target_forward_21d x from fc" for m, f in MODELS.items()) + ")"
 
 
-@query(f"with {_VALUES}, m as (select feature, avg(abs(x)) a, avg(x) s from vals group by 1) select feature, round(a, 8) mean_absolute, round(s, 8) + 0.0 mean_signed, round(a / sum(a) over (), 8) share, row_number() over (order by a desc, feature) rank from m")
+@query(f"""with {_VALUES}, m as (select feature, avg(abs(x)) a, avg(x) s from vals group by 1) select feature, round(a, 8) mean_absolute,
+ round(s, 8) + 0.0 mean_signed, round(a / sum(a) over (), 8) share, row_number() over (order by a desc, feature) rank from m""")
 def rank_importance(spark: SparkSession, d: str) -> DataFrame:
     """Mean sizes per column, shares and ranks."""
     return ranking.ranked_importance(_values(spark, d), list(MODELS)).select("feature", *_r("mean_absolute", "mean_signed", "share"), "rank")
@@ -693,7 +754,16 @@ def _gap(names: list[str]) -> str:
     return " + ".join(f"({MODELS[m]} - target_forward_21d)" for m in names)
 
 
-@query(f"with {FORECASTS}, m as (" + " union all ".join(f"select '{g}' grp, " + " + ".join(f"avg(abs({MODELS[m]} - target_forward_21d))" for m in ms) + f" a, avg(abs({_gap(ms)})) n from fc" for g, ms in _GROUPS.items()) + ") select grp, round(a, 8) mean_absolute, round(n, 8) mean_absolute_net, round(a / sum(a) over (), 8) share, row_number() over (order by a desc, grp) rank from m")
+def _group(name: str, models: list[str]) -> str:
+    gross = " + ".join(f"avg(abs({MODELS[m]} - target_forward_21d))" for m in models)
+    return f"select '{name}' grp, {gross} a, avg(abs({_gap(models)})) n from fc"
+
+
+@query(
+    f"with {FORECASTS}, m as (" + " union all ".join(_group(g, ms) for g, ms in _GROUPS.items())
+    + """) select grp, round(a, 8) mean_absolute, round(n, 8) mean_absolute_net, round(a / sum(a) over (), 8) share,
+ row_number() over (order by a desc, grp) rank from m"""
+)
 def group_importance(spark: SparkSession, d: str) -> DataFrame:
     """Gross and net importance of groups of columns."""
     return ranking.ranked_groups(_values(spark, d), _GROUPS).select("grp", *_r("mean_absolute", "mean_absolute_net", "share"), "rank")
@@ -714,14 +784,17 @@ def segment_summary(spark: SparkSession, d: str) -> DataFrame:
     return _segments(spark, d).select("segment", "feature", *_r("mean_absolute"), "rank")
 
 
-@query(f"with {_VALUES}, {_SEGMENTS} select round(corr(a.rank, b.rank), 8) + 0.0 correlation, count(*) labels from rk a join rk b using (feature) where a.segment = 'early' and b.segment = 'late'")
+@query(f"""with {_VALUES}, {_SEGMENTS} select round(corr(a.rank, b.rank), 8) + 0.0 correlation, count(*) labels from rk a join rk b using (feature)
+ where a.segment = 'early' and b.segment = 'late'""")
 def rank_correlation(spark: SparkSession, d: str) -> DataFrame:
     """Correlation of the ranks of two periods."""
     s = _segments(spark, d)
     return ranking.rank_correlation(s.filter("segment = 'early'"), s.filter("segment = 'late'"), "feature").select(*_r("correlation"), "labels")
 
 
-@query(f"with {_VALUES}, {_SEGMENTS}, t as (select feature, count(*) n from rk where rank <= 2 and segment <> 'overall' group by 1) select coalesce(string_agg(case when n = 2 then feature end, ',' order by feature), '') shared, round(count(*) filter (where n = 2) / count(*), 8) + 0.0 jaccard from t")
+@query(f"""with {_VALUES}, {_SEGMENTS}, t as (select feature, count(*) n from rk where rank <= 2 and segment <> 'overall' group by 1)
+ select coalesce(string_agg(case when n = 2 then feature end, ',' order by feature), '') shared,
+ round(count(*) filter (where n = 2) / count(*), 8) + 0.0 jaccard from t""")
 def topn_jaccard(spark: SparkSession, d: str) -> DataFrame:
     """Overlap of the first ranks of two periods."""
     s = _segments(spark, d)
