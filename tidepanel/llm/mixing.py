@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.session import sized
+from tidepanel.session import collected, sized
 
 #: Bins of size per power of two by which the order within a source is cut, and documents that a cell of hashes is meant to hold.
 SIZE_BINS, CELL_ROWS = 8, 50_000
@@ -34,7 +34,7 @@ def mix_plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -
     spark = sizes.sparkSession
     have = sizes.filter("size > 0").groupBy("source").agg(F.count("*").alias("documents"), F.sum("size").alias("tokens"))
     wanted = targets.groupBy(folded_name(F.col("source")).alias("source")).agg(F.sum("target_weight").alias("target_weight"), F.min("max_repeats").alias("max_repeats"))
-    rows = wanted.filter("source is not null").join(have, "source", "left").orderBy("source").collect()  # as many as there are targets
+    rows = collected(wanted.filter("source is not null").join(have, "source", "left").orderBy("source"))
     usable = [r for r in rows if r["tokens"] and (r["target_weight"] or 0) > 0 and (r["max_repeats"] or 0) > 0]
     size = total if total is not None else min((r["max_repeats"] * r["tokens"] / r["target_weight"] for r in usable), default=0.0)
     out = [(r["source"], float(r["target_weight"] or 0), int(r["max_repeats"] or 0), r["documents"] or 0, r["tokens"] or 0, float(min(r["max_repeats"], size * r["target_weight"] / r["tokens"])) if r in usable else 0.0) for r in rows]

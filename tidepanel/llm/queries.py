@@ -11,7 +11,7 @@ from tidepanel.llm.automaton import encode_corpus
 from tidepanel.llm.mixing import folded_name, mix_plan, mix_shares, mix_sources
 from tidepanel.llm.sampling import SampleLedger, proportional_quotas, proportional_sample
 from tidepanel.llm.subjects import assign_subjects
-from tidepanel.session import kept_folder, staged
+from tidepanel.session import collected, kept_folder, staged
 from tidepanel.sources.files import qualified
 from tidepanel.sources.tables import table
 
@@ -96,7 +96,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
-    names = [r[0] for r in table(spark, d, "subject_areas").select("subject").dropna().distinct().collect()]
+    names = [r[0] for r in collected(table(spark, d, "subject_areas").select("subject").dropna().distinct())]
     return assign_subjects(table(spark, d, "documents"), table(spark, d, "subject_labels"), names).filter("posterior >= 0.5")
 
 

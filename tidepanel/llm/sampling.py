@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.operators.selection import priority, smallest
-from tidepanel.session import staged
+from tidepanel.session import collected, staged
 from tidepanel.sources.files import exists
 
 
@@ -102,7 +102,7 @@ def proportional_quotas(population: DataFrame, targets: DataFrame, *, category:
     counts = staged(population.groupBy(*category).agg(F.count("*").alias("available")))
     total = counts.agg(F.sum("available")).first()[0] or 0
     n = floor(Fraction(str(rate)) * total)
-    rows = targets.select(*category, F.col(share).alias("target"), F.col(least).alias("least")).join(counts, category, "left").orderBy(*category).collect()
+    rows = collected(targets.select(*category, F.col(share).alias("target"), F.col(least).alias("least")).join(counts, category, "left").orderBy(*category))
     shares = [Fraction(str(r["target"] or 0)) for r in rows]
     floors, caps = [int(r["least"] or 0) for r in rows], [int(r["available"] or 0) for r in rows]
     wanted = [max(f, ceil(s * n)) for f, s in zip(floors, shares, strict=True)]
