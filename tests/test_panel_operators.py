@@ -299,6 +299,16 @@ def test_rankings(spark):
     assert ranking.top_overlap(r, r.withColumn("rank", 4 - c("rank")), "feature", 2).first() == ("a", pytest.approx(1 / 3))
 
 
+def test_agreement_of_two_halves(spark):
+    rows = [("m", h, f, r) for h, fs in (("e", "abcd"), ("l", "bacd")) for r, f in enumerate(fs, 1)] + [("k", "e", "a", 1)]
+    ranks = spark.createDataFrame(rows, "model string, half string, feature string, rank int")
+    got = {r["model"]: r for r in ranking.rank_agreement(ranks, ["model"], "feature", c("half") == "e", 3).collect()}
+    assert got["m"]["correlation"] == pytest.approx(np.corrcoef([1, 2, 3, 4], [2, 1, 3, 4])[0, 1]) and got["m"]["labels"] == 4
+    assert (got["m"]["shared"], got["m"]["jaccard"]) == ("a,b,c", 1.0) and (got["k"]["correlation"], got["k"]["jaccard"]) == (None, 0.0)
+    ab = [ranks.filter((c("model") == "m") & (c("half") == h)) for h in "el"]
+    assert ranking.top_overlap(*ab, "feature", 1).first() == ("", 0.0)
+
+
 def test_tree_models(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(300, 4))

@@ -7,6 +7,7 @@ share one job; :func:`require` raises on the driver.
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,12 @@ def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return df.agg(*[count_true(c).alias(n) for n, c in rules.items()])
 
 
+def side_by_side(parts: list[DataFrame]) -> DataFrame:
+    """Several tables of one row of counts as one row: their figures by name are united and summed up, without a join."""
+    long = [p.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("long").alias("n")) for c in p.columns]))) for p in parts]
+    return reduce(DataFrame.unionByName, long).agg(*[F.sum(F.when(F.col("name") == c, F.col("n"))).alias(c) for p in parts for c in p.columns])
+
+
 def require(df: DataFrame, rules: dict[str, Column], label: str) -> None:
     row = violations(df, rules).first().asDict()
     if bad := {k: v for k, v in row.items() if v}:

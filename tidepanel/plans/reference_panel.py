@@ -328,9 +328,8 @@ def index_guard(spark: SparkSession, d: str) -> DataFrame:
 def guard_report(spark: SparkSession, d: str) -> DataFrame:
     """Violations of the guards, one column each."""
     prices, spells, final = (table(spark, d, t) for t in ("daily_prices", "universe", "final_panel"))
-    one = F.lit(1).alias("_one")
-    before = prices.agg(F.count("*").alias("before"), one)
-    after = temporal.membership_flag(prices.select("permno", "dlycaldt"), spells).agg(F.count("*").alias("after"), one)
+    flagged = temporal.membership_flag(prices.select("permno", "dlycaldt"), spells).select(F.lit(1).alias("n"))
+    rows_added = flagged.unionByName(prices.select(F.lit(-1).alias("n"))).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows_added_by_membership"))
     parts = [
         guards.violations(spells, {"bad_spells": guards.bad_interval("universe_start", "universe_end")}),
         guards.violations(prices, {"bad_returns": guards.bad_return("dlyret")}),
@@ -343,12 +342,9 @@ def guard_report(spark: SparkSession, d: str) -> DataFrame:
             "bad_forecasts": guards.bad_forecasts(list(MODELS.values())),
             "bad_event_flags": guards.inconsistent_flag("has_earnings_forward_21d", c("earnings_count_forward_21d") > 0),
         }),
-        after.join(before, "_one").select((c("after") - c("before")).alias("rows_added_by_membership")),
+        rows_added,
     ]
-    out = parts[0].withColumn("_one", F.lit(1))
-    for p in parts[1:]:
-        out = out.join(p.withColumn("_one", F.lit(1)), "_one")
-    return out.drop("_one")
+    return guards.side_by_side(parts)
 
 
 # ---- regimes, populations
