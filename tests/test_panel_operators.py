@@ -54,6 +54,18 @@ def test_event_window_is_open_at_the_origin(spark):
     assert [(r["event_count"], r["has_event"]) for r in out] == [(2, True), (1, True), (None, None), (0, False)]
 
 
+def test_event_counts_equal_brute_force(spark):
+    rng = np.random.default_rng(12)
+    start = date(2014, 12, 1)
+    events = [(int(rng.integers(0, 4)), start + timedelta(days=int(rng.integers(0, 800)))) for _ in range(150)]
+    windows = [(i, int(rng.integers(0, 6)), start + timedelta(days=int(rng.integers(-60, 900))), int(rng.integers(-5, 120))) for i in range(400)]
+    windows = [(i, e, o, o + timedelta(days=n)) for i, e, o, n in windows] + [(900, 1, start, None), (901, None, start, start)]
+    got = temporal.forward_event_count(spark.createDataFrame(windows, "i long, permno long, dlycaldt date, target_end_date date"), spark.createDataFrame(events, "permno long, anndats date"))
+    for r in got.collect():
+        days = {d for e, d in events if e == r["permno"] and r["target_end_date"] and r["dlycaldt"] < d <= r["target_end_date"]}
+        assert (r["event_count"], r["has_event"]) == ((len(days), bool(days)) if r["target_end_date"] else (None, None))
+
+
 def test_clip_and_calendar(spark):
     s = spark.createDataFrame([(1, day(0), None), (2, day(0), day(3)), (3, day(20), day(30))], "permno long, a date, b date")
     out = temporal.clipped(s, "a", "b", str(day(4)), str(day(10))).collect()

@@ -7,7 +7,7 @@ unless the semantics ask for it; the folded side is broadcast only if small.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.session import sized
@@ -52,16 +52,47 @@ def unmatched_keys(rows: DataFrame, matched: DataFrame, key: list[str]) -> DataF
     return rows.select(*key).distinct().join(matched.select(*key), key, "left_anti")
 
 
+def _month(day: Column) -> Column:
+    return F.year(day) * 12 + F.month(day) - 1
+
+
+def _bit(n: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), n)
+
+
+def event_prefixes(events: DataFrame, *, entity: str, event: str) -> DataFrame:
+    """(_e, _first, _months): per entity, for each month from its first to its last event, the distinct event days before it and a bit for each in it.
+
+    An entity's months are bounded by the calendar, however many events repeat.
+    """
+    days = events.filter(F.col(entity).isNotNull() & F.col(event).isNotNull()).select(F.col(entity).alias("_e"), _month(F.col(event)).alias("month"), F.col(event).alias("day"))
+    bits = days.groupBy("_e", "month").agg(F.bit_or(_bit(F.dayofmonth("day") - 1)).alias("bits"))
+    every = bits.groupBy("_e").agg(F.explode(F.sequence(F.min("month"), F.max("month"))).alias("month"))
+    dense = every.join(bits, ["_e", "month"], "left").withColumn("bits", F.coalesce("bits", F.lit(0).cast("long")))
+    before = F.coalesce(F.sum(F.bit_count("bits")).over(Window.partitionBy("_e").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = dense.withColumn("before", before)
+    return rows.groupBy("_e").agg(F.min("month").alias("_first"), F.sort_array(F.collect_list(F.struct("month", "before", "bits"))).alias("_months"))
+
+
 def forward_event_count(windows: DataFrame, events: DataFrame, *, entity: str = "permno", origin: str = "dlycaldt", end: str = "target_end_date", event: str = "anndats") -> DataFrame:
     """``windows`` with the number of distinct event days in (origin, end] and a flag.
 
-    Null end: both null. No events: 0 and False. Repeated events count once.
+    The count is the difference of two prefix counts, each one look-up by month,
+    whatever the number of events. Null origin or end: both null. No events, or an
+    end before the origin: 0 and False. Repeated events count once.
     """
-    folded = events.filter(F.col(entity).isNotNull() & F.col(event).isNotNull()).groupBy(F.col(entity).alias("_e")).agg(F.collect_set(event).alias("_events"))
-    joined = windows.join(sized(folded), F.col(entity) == F.col("_e"), "left")
-    inside = F.size(F.filter(F.coalesce("_events", F.array().cast("array<date>")), lambda x: (x > F.col(origin)) & (x <= F.col(end))))
-    count = F.when(F.col(end).isNotNull(), inside.cast("long"))
-    return joined.withColumn("event_count", count).withColumn("has_event", F.col("event_count") > 0).drop("_e", "_events")
+    joined = windows.join(sized(event_prefixes(events, entity=entity, event=event)), F.col(entity) == F.col("_e"), "left")
+    last = F.element_at("_months", -1)
+
+    def upto(day: Column) -> Column:
+        at = _month(day) - F.col("_first")
+        here = F.get("_months", at)
+        inside = here["before"] + F.bit_count(here["bits"].bitwiseAND(_bit(F.dayofmonth(day)) - 1))
+        return F.when(F.col("_e").isNull() | (at < 0), F.lit(0)).when(at >= F.size("_months"), last["before"] + F.bit_count(last["bits"])).otherwise(inside)
+
+    known = F.col(end).isNotNull() & F.col(origin).isNotNull()
+    count = F.when(known, F.greatest(upto(F.col(end)) - upto(F.col(origin)), F.lit(0)).cast("long"))
+    return joined.withColumn("event_count", count).withColumn("has_event", F.col("event_count") > 0).drop("_e", "_first", "_months")
 
 
 def calendar_gaps(days: DataFrame, series: DataFrame, *, day: str, series_day: str) -> DataFrame:
