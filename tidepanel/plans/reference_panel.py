@@ -510,21 +510,37 @@ def block_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     return ev.bootstrap_intervals(values).select(part[0].alias("grp"), part[1].alias("model"), part[2].alias("metric"), "estimate", "ci_lower", "ci_upper", "valid_replicates")
 
 
-def _decisions(spark: SparkSession, d: str) -> DataFrame:
+def _daily_effects(spark: SparkSession, d: str) -> DataFrame:
+    """(dlycaldt, series, num, den): the daily terms of each hypothesis, whose ratio of sums is its estimate."""
     differ = _high_difference(spark, d)
     one = lambda df, h, x: df.select("dlycaldt", F.concat(F.lit(f"{h}/"), "series").alias("series"), c(x).alias("num"), F.when(c(x).isNotNull(), 1).alias("den"))
     h1 = one(differ.withColumn("x", F.when(c("regime") == "high", c("x"))), "H1", "x")
     low = differ.withColumns({"x": F.when(c("regime") == "low", c("x")), "g": F.when(c("regime") == "low", c("g"))})
     h2 = low.select("dlycaldt", F.concat(F.lit("H2/"), "series").alias("series"), c("x").alias("num"), c("g").alias("den"))
     h3 = one(event_gap_daily(spark, d).select(c("d").alias("dlycaldt"), c("model").alias("series"), c("gap").alias("x")), "H3", "x")
-    return ev.bootstrap_intervals(_bootstrap(h1.unionByName(h2).unionByName(h3)))
+    return h1.unionByName(h2).unionByName(h3)
+
+
+@query(f"""with {FORECASTS}, m as (select dlycaldt d, min(regime) regime, avg(ql) filter (where model = 'garch') g,
+   avg(ql) filter (where model = 'random_forest') rf, avg(ql) filter (where model = 'xgboost') xg from losses group by 1),
+ x as (select regime, g, 'random_forest_vs_garch' comparison, g - rf x from m union all select regime, g, 'xgboost_vs_garch', g - xg from m),
+ gaps as (select model, dlycaldt, avg(ql) filter (where ev) - avg(ql) filter (where not ev) x from losses group by 1, 2)
+ select hypothesis, comparison, round(estimate, 8) + 0.0 estimate, n from (
+  select 'H1' hypothesis, comparison, avg(x) estimate, count(x) n from x where regime = 'high' group by 2
+  union all select 'H2', comparison, sum(x) / sum(g), count(x) from x where regime = 'low' group by 2
+  union all select 'H3', model, avg(x), count(x) from gaps group by 2)""")
+def hypothesis_estimates(spark: SparkSession, d: str) -> DataFrame:
+    """The estimates of the three hypotheses and the dates behind each."""
+    part = F.split("series", "/")
+    sums = _daily_effects(spark, d).groupBy("series").agg(F.try_divide(F.sum("num"), F.sum("den")).alias("estimate"), F.count("num").alias("n"))
+    return sums.select(part[0].alias("hypothesis"), part[1].alias("comparison"), *_r("estimate"), "n")
 
 
 @query()
 def hypothesis_decisions(spark: SparkSession, d: str) -> DataFrame:
     """Estimates, intervals and decisions of the three hypotheses."""
     part = F.split("series", "/")
-    rows = _decisions(spark, d).withColumns({"hypothesis": part[0], "comparison": part[1]})
+    rows = ev.bootstrap_intervals(_bootstrap(_daily_effects(spark, d))).withColumns({"hypothesis": part[0], "comparison": part[1]})
     holds = F.when(c("hypothesis") == "H2", ev.comparable(c("estimate"), c("ci_upper"))).otherwise(ev.positive_effect(c("estimate"), c("ci_lower")))
     tested = rows.withColumn("holds", holds)
     group = Window.partitionBy("hypothesis")
