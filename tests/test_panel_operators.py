@@ -3,6 +3,7 @@
 import json
 import math
 from datetime import date, timedelta
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -300,6 +301,20 @@ def test_allocation_and_sample(spark):
     assert digest(a) == digest(b) and a.count() == 9
 
 
+def test_a_locked_sample_is_required_again(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from tidepanel.plans import reference_panel
+
+    folder = "/root/testdata/sf0.001"
+    if not Path(folder).exists():
+        pytest.skip("no test tables")
+    query = entry.queries()["sample_key_hash"]
+    assert query(spark, folder).first() == query(spark, folder).first()
+    monkeypatch.setattr(reference_panel, "stratified_sample_md5", lambda spark, d: reference_panel.forecasts(spark, d).limit(3))
+    with pytest.raises(guards.GuardError):
+        query(spark, folder)
+
+
 def test_rankings(spark):
     df = spark.createDataFrame([(float(i), -2.0 * i, 0.0) for i in range(1, 5)], "a double, b double, z double")
     out = ranking.ranked_importance(df, ["a", "b", "z"]).orderBy("rank").collect()

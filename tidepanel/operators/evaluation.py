@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.columns import qlike
+from tidepanel.session import staged
 
 #: Fixed values of the inference.
 BLOCK, REPLICATES, SEED, LAG, BOUND = 21, 2000, 42, 20, 0.05
+#: Daily sums that may be sent to the tasks of a bootstrap.
+CELLS = 4_000_000
 
 
 def stacked_losses(panel: DataFrame, models: dict[str, str], *, actual: str, keep: Sequence[str]) -> DataFrame:
@@ -63,7 +66,10 @@ def bootstrap_replicates(daily: DataFrame, *, day: str, series: str, numerator:
     and the replicates are spread. A replicate without denominator is null.
     """
     spark = daily.sparkSession
-    table = daily.select(day, series, F.col(numerator).cast("double").alias("num"), F.col(denominator).cast("double").alias("den")).toArrow().to_pandas()
+    cells = staged(daily.select(day, series, F.col(numerator).cast("double").alias("num"), F.col(denominator).cast("double").alias("den")))
+    if cells.count() > CELLS:
+        raise ValueError(f"more than {CELLS} daily sums: they were expected to be bounded by the calendar and the series")
+    table = cells.toArrow().to_pandas()
     days, names = sorted(table[day].unique()), sorted(table[series].unique())
     n, k = len(days), len(names)
     at, of = {x: i for i, x in enumerate(days)}, {x: i for i, x in enumerate(names)}

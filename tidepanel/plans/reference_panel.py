@@ -14,9 +14,10 @@ from tidepanel.operators import evaluation as ev
 from tidepanel.operators import garch, guards, panels, ranking, temporal, timeseries
 from tidepanel.operators.references import padded_key
 from tidepanel.plans.base import FORECASTS, INDEX, MODELS, PANEL, VOL, c, forecasts, index_levels, panel, volatility
-from tidepanel.session import staged
+from tidepanel.session import kept_folder, staged
+from tidepanel.sources import files
 from tidepanel.sources.scans import key_scan, literal_grid, optional_table, parameter_scan, profiled_rows, renamed_scan
-from tidepanel.sources.sinks import content_hash
+from tidepanel.sources.sinks import content_hash, read_locked, write_json
 from tidepanel.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -741,8 +742,17 @@ def stratified_sample_md5(spark: SparkSession, d: str) -> DataFrame:
  join al on al.year = r.year and al.regime = r.regime where k <= allocation)
  select sha256(string_agg(permno || '|' || dlycaldt || '|' || regime || chr(10), '' order by permno, dlycaldt)) digest, count(*) n from s""")
 def sample_key_hash(spark: SparkSession, d: str) -> DataFrame:
-    """The hash that locks a sample."""
-    return ranking.sample_digest(stratified_sample_md5(spark, d), key=["permno", "dlycaldt"], line=["permno", "dlycaldt", "regime"])
+    """The hash that locks a sample: kept at the first call for a population, and required to be the same at each later one."""
+    out = staged(ranking.sample_digest(stratified_sample_md5(spark, d), key=["permno", "dlycaldt"], line=["permno", "dlycaldt", "regime"]))
+    found, n = out.first()
+    rows, content = content_hash(forecasts(spark, d)).first()
+    lock = kept_folder(spark, f"samples/{rows}-{content}-{_SAMPLE}.json")
+    if files.exists(spark, lock):
+        locked = read_locked(lock, files.sha256(spark, lock), 1)
+        guards.require_digest(f"{found} of {n}", locked["digest"], "stratified sample")
+    else:
+        write_json({"schema_version": 1, "digest": f"{found} of {n}"}, lock, force=False)
+    return out
 
 
 def _values(spark: SparkSession, d: str) -> DataFrame:
