@@ -451,8 +451,13 @@ def daily_loss_mean(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {FORECASTS} select model, dlycaldt d, round(avg(ql) filter (where ev) - avg(ql) filter (where not ev), 8) + 0.0 gap from losses group by 1, 2")
 def event_gap_daily(spark: SparkSession, d: str) -> DataFrame:
     """Loss with events minus loss without, within each date."""
+    return _event_gaps(spark, d).select("model", "d", *_r("gap"))
+
+
+def _event_gaps(spark: SparkSession, d: str) -> DataFrame:
     event = c("has_earnings_forward_21d")
-    return _losses(spark, d).groupBy("model", c("dlycaldt").alias("d")).agg(rounded(F.avg(F.when(event, c("qlike"))) - F.avg(F.when(~event, c("qlike")))).alias("gap"))
+    gap = F.avg(F.when(event, c("qlike"))) - F.avg(F.when(~event, c("qlike")))
+    return _losses(spark, d).groupBy("model", c("dlycaldt").alias("d")).agg(gap.alias("gap"))
 
 
 def _high_difference(spark: SparkSession, d: str) -> DataFrame:
@@ -518,7 +523,7 @@ def _daily_effects(spark: SparkSession, d: str) -> DataFrame:
     h1 = one(differ.withColumn("x", F.when(c("regime") == "high", c("x"))), "H1", "x")
     low = differ.withColumns({"x": F.when(c("regime") == "low", c("x")), "g": F.when(c("regime") == "low", c("g"))})
     h2 = low.select("dlycaldt", F.concat(F.lit("H2/"), "series").alias("series"), c("x").alias("num"), c("g").alias("den"))
-    h3 = one(event_gap_daily(spark, d).select(c("d").alias("dlycaldt"), c("model").alias("series"), c("gap").alias("x")), "H3", "x")
+    h3 = one(_event_gaps(spark, d).select(c("d").alias("dlycaldt"), c("model").alias("series"), c("gap").alias("x")), "H3", "x")
     return h1.unionByName(h2).unionByName(h3)
 
 
