@@ -445,6 +445,30 @@ def test_fit_doesn_t_depend_on_layout_and_both_ways_learn(spark, monkeypatch, tm
         forests.fit(c1, forests.assembled(df.withColumn("a", F.lit(1e300)), ["a", "b", "e"], "y"), trees=2)
 
 
+def test_models_pass_the_driver_in_parts(spark, monkeypatch, tmp_path):
+    """A forest larger than a part is written by the tasks, and read, sent, saved and explained part by part."""
+    names, x = ["a", "b", "e"], np.random.default_rng(12).normal(size=(300, 3))
+    df = forests.assembled(spark.createDataFrame([(i, *map(float, v), float(np.exp(v[0] - v[1]))) for i, v in enumerate(x)], "id long, a double, b double, e double, y double"), names, "y")
+    candidate, path = forests.Candidate("m", "forest", None, 2, "all"), str(tmp_path / "m")
+    whole = forests.fit(candidate, df, trees=40)
+    ids = lambda rows: rows.drop("_features", "_label").toPandas().sort_values("id").reset_index(drop=True)
+    expected, shap = ids(forests.predicted(whole, df)), ids(forests.shap_values(whole, df, names, ["id"]))
+    bound, sent, make = 20_000, [], spark.createDataFrame
+    monkeypatch.setattr(forests, "PART_BYTES", bound, raising=False)
+    with monkeypatch.context() as m:
+        m.setattr(spark, "createDataFrame", lambda t, *a, **k: sent.append(t.nbytes) or make(t, *a, **k))
+        forests.save_model(spark, whole, path, names)
+    assert len(sent) > 5 and max(sent) < 2 * bound  # a table is one task's message
+    stored, (again, _) = forests.fit(candidate, df, trees=40), forests.load_model(spark, path, names)
+    forests.save_model(spark, stored, f"{path}2", names)
+    forests.discard(stored)
+    for model in (again, forests.load_model(spark, f"{path}2", names)[0]):
+        assert isinstance(model.trees, forests.StoredTrees) and len(model.trees) == 40 and len(list(model.parts())) > 5
+        assert forests._digest(model.trees) == forests._digest(whole.trees)
+        assert expected.equals(ids(forests.predicted(model, df)))
+        np.testing.assert_allclose(ids(forests.shap_values(model, df, names, ["id"])), shap, atol=1e-12)
+
+
 def test_selection_and_resume(spark, tmp_path):
     assert forests.selected([{"name": "b", "metrics": {"qlike": 0.1}}, {"name": "a", "metrics": {"qlike": 0.1}}, {"name": "c", "metrics": {"qlike": None}}])["name"] == "a"
     x = np.random.default_rng(1).normal(size=60)
