@@ -405,6 +405,30 @@ def test_slices_of_a_level_don_t_change_the_tree(monkeypatch):
     assert np.bincount(treekernel.leaves_of(whole, codes))[whole.feature < 0].min() >= 3
 
 
+def test_kernel_shortcuts_give_the_same_trees(monkeypatch):
+    """Sums as differences, weights packed with counts, and leaves found by blocks, beside the plain ways."""
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(3000, 5))
+    codes, y = treekernel.binned(x, treekernel.bin_edges(x)), x[:, 0] - x[:, 1] * x[:, 2] + rng.normal(size=3000)
+    for depth in (1, 4, 7):
+        plain, short = (treekernel.grow(codes, y, None, rng, depth=depth, least_weight=5, l2=1.0, differences=d) for d in (False, True))
+        assert all((getattr(plain, n) == getattr(short, n)).all() for n in ("feature", "threshold", "left", "right", "cover"))
+        np.testing.assert_allclose(plain.value, short.value, atol=1e-12)
+    tree = treekernel.forest_tree(codes, y, np.random.default_rng(1), depth=None, leaf=3, tried=2)
+    with monkeypatch.context() as m:
+        m.setattr(treekernel, "PACKED", 1)  # no weights are packed
+        apart = treekernel.forest_tree(codes, y, np.random.default_rng(1), depth=None, leaf=3, tried=2)
+    assert all((getattr(tree, n) == getattr(apart, n)).all() for n in ("feature", "threshold", "left", "right", "value", "cover"))
+    monkeypatch.setattr(treekernel, "BLOCK", 700)
+    leaves = treekernel.leaves_of(tree, codes)
+    for row in range(0, 3000, 37):
+        node = 0
+        while tree.feature[node] >= 0:
+            node = (tree.left if codes[row, tree.feature[node]] <= tree.threshold[node] else tree.right)[node]
+        assert node == leaves[row]
+    assert len(treekernel.leaves_of(tree, codes[:0])) == 0
+
+
 def test_boosting_stops_at_the_least_loss():
     rng = np.random.default_rng(9)
     x = rng.normal(size=(300, 4))
